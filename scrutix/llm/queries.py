@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from .chat import SQL as CHAT_SQL
+from .chat import op4_chat
 from .common import table
 from .matroska import op2_matroska
+from .urls import op3_urls
+from .warc import op5_warc
 
 QUERIES = {
     "op2_matroska": lambda spark, d: op2_matroska(table(spark, d, "documents")),
+    "op3_urls": lambda spark, d: op3_urls(table(spark, d, "pages")),
+    "op4_chat": lambda spark, d: op4_chat(table(spark, d, "conversations")),
+    "op5_warc": lambda spark, d: op5_warc(table(spark, d, "pages")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat": CHAT_SQL}
