@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import SQL as CHAT_SQL
 from .chat import op4_chat
+from .cnn import op7_quality
 from .common import table
 from .matroska import op2_matroska
 from .urls import op3_urls
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_urls": lambda spark, d: op3_urls(table(spark, d, "pages")),
     "op4_chat": lambda spark, d: op4_chat(table(spark, d, "conversations")),
     "op5_warc": lambda spark, d: op5_warc(table(spark, d, "pages")),
+    "op7_quality": lambda spark, d: op7_quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_chat": CHAT_SQL}
