@@ -7,6 +7,8 @@ from .chat import op4_chat
 from .cnn import op7_quality
 from .common import table
 from .matroska import op2_matroska
+from .setsketch import SQL as NEAR_SQL
+from .setsketch import op6_setsketch
 from .urls import op3_urls
 from .warc import op5_warc
 
@@ -15,7 +17,8 @@ QUERIES = {
     "op3_urls": lambda spark, d: op3_urls(table(spark, d, "pages")),
     "op4_chat": lambda spark, d: op4_chat(table(spark, d, "conversations")),
     "op5_warc": lambda spark, d: op5_warc(table(spark, d, "pages")),
+    "op6_setsketch": lambda spark, d: op6_setsketch(table(spark, d, "documents")),
     "op7_quality": lambda spark, d: op7_quality(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": CHAT_SQL, "op6_setsketch": NEAR_SQL}
