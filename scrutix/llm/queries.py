@@ -8,6 +8,7 @@ from .cnn import op7_quality
 from .common import table
 from .matroska import op2_matroska
 from .packing import op8_packing
+from .pii import op9_pii
 from .setsketch import SQL as NEAR_SQL
 from .setsketch import op6_setsketch
 from .urls import op3_urls
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_setsketch": lambda spark, d: op6_setsketch(table(spark, d, "documents")),
     "op7_quality": lambda spark, d: op7_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_packing": lambda spark, d: op8_packing(table(spark, d, "documents")),
+    "op9_pii": lambda spark, d: op9_pii(table(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_chat": CHAT_SQL, "op6_setsketch": NEAR_SQL}
