@@ -6,6 +6,8 @@ from .chat import SQL as CHAT_SQL
 from .chat import op4_chat
 from .cnn import op7_quality
 from .common import table
+from .embeddings import SQL as VECTOR_SQL
+from .embeddings import op10_embeddings
 from .matroska import op2_matroska
 from .packing import op8_packing
 from .pii import op9_pii
@@ -23,6 +25,7 @@ QUERIES = {
     "op7_quality": lambda spark, d: op7_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_packing": lambda spark, d: op8_packing(table(spark, d, "documents")),
     "op9_pii": lambda spark, d: op9_pii(table(spark, d, "documents")),
+    "op10_embeddings": lambda spark, d: op10_embeddings(table(spark, d, "embeddings")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": CHAT_SQL, "op6_setsketch": NEAR_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": CHAT_SQL, "op6_setsketch": NEAR_SQL, "op10_embeddings": VECTOR_SQL}
