@@ -204,28 +204,26 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> l
     return [(r[0], r[1]) for r in got]
 
 
-def classify(documents: DataFrame, net: Net, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``documents`` (or its ``columns``) with ``score``, the probability of label 1.
+def classify(documents: DataFrame, net: Net, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``documents`` (or its ``columns``) with ``name``, the probability of label 1.
 
-    The network (about 130 KB) is pickled with the task; texts pass through
-    Arrow batches and the other columns with them.
+    An input column of that name is replaced.  The network (about 130 KB) is
+    pickled with the task; the other columns pass through Arrow batches.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    kept = documents.columns if columns is None else columns
-    if "score" in kept:
-        raise ValueError("the table has a column named score already; rename it or choose columns")
-    source = documents.select(*kept, *([] if text_col in kept else [text_col]))
-    schema = StructType([source.schema[c] for c in kept] + [StructField("score", DoubleType())])
+    kept = [c for c in (documents.columns if columns is None else columns) if c != name]
+    source = documents.select(*(F.col(f"`{c}`") for c in kept), F.col("text").alias("_score_text"))
+    schema = StructType([source.schema[c] for c in kept] + [StructField(name, DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col))
+            texts = b.column(b.num_columns - 1)
             scores = pa.array([net.score(texts[i].as_py()) for i in range(b.num_rows)], pa.float64())
-            cols = [b.column(b.schema.get_field_index(c)).cast(arrow.field(c).type) for c in kept]
+            cols = [b.column(i).cast(arrow.field(i).type) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*cols, scores], schema=arrow)
 
     return source.mapInArrow(run, schema)

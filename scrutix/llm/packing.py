@@ -245,11 +245,9 @@ def pack(documents: DataFrame, vocabulary: str = "byte_bpe_50k", with_ids: bool
     """
     import pyarrow as pa
 
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.uint32()))] * with_ids)
-    types = SCHEMA + ", ids array<long>" * with_ids
-    if with_ids:
-        schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.list_(pa.int64()))])
+    fields = [(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")]
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
+    types = SCHEMA + ", ids array<int>" * with_ids
 
     def run(batches):
         from pyspark import TaskContext
@@ -257,20 +255,26 @@ def pack(documents: DataFrame, vocabulary: str = "byte_bpe_50k", with_ids: bool
         enc, packer = encoder(vocabulary), Packer()
         base = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
+        tokens: list[np.ndarray] = []
 
         def put(window):
             sequence, _, group, pieces = window
             offset = 0
             tier = sum(map(len, pieces))
             for p in pieces:
-                row = (p.doc, p.start, len(p), zlib.crc32(p.ids.tobytes()), p.total, base + sequence, offset, tier, base + group)
-                rows.append((*row, p.ids.tolist()) if with_ids else row)
+                rows.append((p.doc, p.start, len(p), zlib.crc32(p.ids.tobytes()), p.total, base + sequence, offset, tier, base + group))
+                if with_ids:
+                    tokens.append(p.ids)
                 offset += len(p)
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            cols = [pa.array(list(c), pa.int64()) for c in zip(*rows)]
+            if with_ids:
+                at = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(tokens).astype(np.int32))))
             rows.clear()
-            return out
+            tokens.clear()
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         end = np.array([END_ID], "<u4")
         for b in batches:
@@ -279,7 +283,7 @@ def pack(documents: DataFrame, vocabulary: str = "byte_bpe_50k", with_ids: bool
                 ids = np.concatenate([enc.encode(texts[i].as_py()), end])
                 for window in packer.add(docs[i].as_py(), ids):
                     put(window)
-                    if len(rows) >= (500 if with_ids else 10_000):
+                    if len(rows) >= 4000:
                         yield flush()
         for window in packer.finish():
             put(window)

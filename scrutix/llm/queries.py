@@ -9,6 +9,7 @@ from .common import table
 from .embeddings import SQL as VECTOR_SQL
 from .embeddings import op10_embeddings
 from .matroska import op2_matroska
+from .mixing import op1_mixing
 from .packing import op8_packing
 from .pii import op9_pii
 from .setsketch import SQL as NEAR_SQL
@@ -17,6 +18,7 @@ from .urls import op3_urls
 from .warc import op5_warc
 
 QUERIES = {
+    "op1_mixing": lambda spark, d: op1_mixing(table(spark, d, "documents")),
     "op2_matroska": lambda spark, d: op2_matroska(table(spark, d, "documents")),
     "op3_urls": lambda spark, d: op3_urls(table(spark, d, "pages")),
     "op4_chat": lambda spark, d: op4_chat(table(spark, d, "conversations")),
