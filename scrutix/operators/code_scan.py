@@ -47,7 +47,7 @@ def files_from_binary(df: DataFrame, root: str, max_file: int = 1 << 20, max_tot
     """Text files of a ``binaryFile`` table: ``(scan_id, path, text, byte_size)``."""
     path = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     d = df.filter(F.col("length") <= max_file).withColumn("path", path).filter(selected(F.col("path")) & is_text(F.col("content")))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return d.select(F.lit(root).alias("scan_id"), "path", text.alias("text"), F.col("length").alias("byte_size"))
 
 
