@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrutix.functions import text as T
-from scrutix.operators import code_rules, code_scan, evaluation, guard, redaction, scoring, web
+from scrutix.operators import code_rules, code_scan, evaluation, guard, media, redaction, scoring, web
 from scrutix.sources.tables import spread, table
 from scrutix.streaming import limiter
 
+from .text_queries import ORACLE_SQL as TEXT_SQL
 from .text_queries import _base
 
 
@@ -52,6 +53,36 @@ FILES = (
 )
 
 
+#: Leading bytes of media files, as hex: (id, hex).
+HEADS = ((1, "89504E470D0A1A0A00000000"), (2, "FFD8FFE000104A4649460001"), (3, "524946460000000057454250"), (4, "474946383961000000000000"), (5, "000000186674797068656963"), (6, "000000186674797061766966"), (7, "000000186674797071742020"), (8, "000000186674797069736F6D"), (9, "504B03040000000000000000"), (10, "89504E47"))
+
+
+def _media_sniff(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame(list(HEADS), "case_id int, head string").withColumn("content", F.unhex("head"))
+    return t.select("case_id", media.sniff(F.col("content")).alias("format"))
+
+
+def _stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Documents scored as a stream over every file there is, then read from its sink."""
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = table(spark, d, "documents")
+    # a file source reads folders: a single file is its folder with a glob
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "documents.parquet").parquet(d) if _is_file(spark, f"{d}/documents.parquet") else spark.readStream.schema(source.schema).parquet(f"{d}/documents.parquet")
+    scored = limiter.score_stream(stream).select("doc_id", (F.round("score_raw", 6) + 0.0).alias("score_raw"), "risk", F.size("signals").cast("long").alias("n_signals"))
+    scored.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(scored.schema).parquet(f"{out}/data")
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+
+
 def _files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FILES), "scan_id string, path string, text string")
 
@@ -95,6 +126,8 @@ QUERIES = {
     "code_scores_fixture": lambda s, d: code_scan.scan_scores(code_scan.findings(_files(s)), _files(s)),
     "code_pq_readiness_fixture": lambda s, d: code_scan.pq_readiness(code_scan.findings(_files(s))),
     "known_bad_versions_join": _known_bad,
+    "media_sniff": _media_sniff,
+    "stream_score_documents": _stream_scores,
     "rate_limit_events": lambda s, d: limiter.rate_limit(table(s, d, "events"), limit=3, window=3600.0),
 }
 
@@ -110,5 +143,7 @@ ORACLE_SQL = {
     "page_url_policy": r"SELECT page_id, CASE WHEN regexp_matches(url, '[\x00-\x20]') THEN 'space or control character' WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' WHEN regexp_matches(url, '^https?://[^/?#]*@') THEN 'user information' WHEN regexp_matches(url, '^https?://[^/?#]*:') THEN 'port' END AS refused FROM pages",
     "guard_conversations": r"SELECT conv_id, turn, CAST(regexp_matches(coalesce(text, ''), '(?i)\b(ignore|disregard|forget)\s+(all\s+)?(previous|prior|above)\s+instructions\b')::INT + regexp_matches(coalesce(text, ''), '(?i)\b(system|developer)\s+prompt\b|\bact\s+as\s+(?:a|an)\b')::INT + regexp_matches(coalesce(text, ''), '(?i)\b(do\s+not|don''t|dont)\s+(flag|detect|report|scan|review)\b')::INT AS BIGINT) AS hits FROM conversations",
     "redact_documents": f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{_DOCS_SECRET}') AS was_redacted FROM documents",
+    "media_sniff": "SELECT * FROM (VALUES (1, 'png'), (2, 'jpeg'), (3, 'webp'), (4, 'gif'), (5, 'heic'), (6, 'avif'), (7, 'mov'), (8, 'mp4'), (9, 'unknown'), (10, 'unknown')) AS t(case_id, format)",
+    "stream_score_documents": TEXT_SQL["text_score"],
     "known_bad_versions_join": "SELECT kind, name, used FROM (VALUES ('npm', 'event-stream', '3.3.6'), ('npm', 'colors', '1.4.2'), ('pypi', 'request', '9.9')) AS t(kind, name, used)",
 }
