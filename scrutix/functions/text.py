@@ -80,14 +80,26 @@ def lowered(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.lower(w))
 
 
-def among(tokens: Column, terms) -> Column:
-    """The tokens that are in ``terms``, repeats included."""
-    return F.filter(tokens, lambda w: w.isin(*terms))
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def content(tokens: Column, longer_than: int = 0) -> Column:
-    """Tokens longer than a length that aren't stop words."""
-    return F.filter(tokens, lambda w: (F.length(w) > longer_than) & ~w.isin(*L.STOPWORDS))
+def _listed(terms) -> str:
+    return ", ".join(map(quoted, terms))
+
+
+def among(column: str, terms) -> Column:
+    """The tokens of an array column that are in ``terms``, repeats included.
+
+    Long lists are put as SQL text: one call builds the expression.
+    """
+    return F.expr(f"filter({column}, w -> w IN ({_listed(terms)}))")
+
+
+def content(column: str, longer_than: int = 0) -> Column:
+    """Tokens of an array column longer than a length that aren't stop words."""
+    return F.expr(f"filter({column}, w -> length(w) > {longer_than} AND w NOT IN ({_listed(L.STOPWORDS)}))")
 
 
 def frequent(s: Column, least) -> Column:
@@ -104,12 +116,10 @@ def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
 
-def occurrences(c: Column, phrases) -> Column:
-    """Non-overlapping occurrences, summed over phrases."""
-    total = F.lit(0)
-    for p in phrases:
-        total = total + F.when(F.contains(c, F.lit(p)), ((F.length(c) - F.length(F.replace(c, F.lit(p), F.lit("")))) / len(p)).cast("int")).otherwise(0)
-    return total.cast("long")
+def occurrences(column: str, phrases) -> Column:
+    """Non-overlapping occurrences in a string column, summed over phrases."""
+    one = "if(contains({c}, {p}), cast((length({c}) - length(replace({c}, {p}, ''))) / {n} as int), 0)"
+    return F.expr("cast(" + " + ".join(one.format(c=column, p=quoted(p), n=len(p)) for p in phrases) + " as bigint)")
 
 
 def chars_of(c: Column, chars: str) -> Column:
@@ -202,8 +212,8 @@ def with_text(df: DataFrame, text_col: str = "text", unicode_forms: bool = True)
 
 def with_metrics(df: DataFrame) -> DataFrame:
     """Adds the statistics of every document, all BIGINT or DOUBLE."""
-    w, s, raw, norm = F.col("_words"), F.col("_sentences"), F.col("_raw"), F.col("_norm")
-    df = df.withColumns({"_lengths": F.transform(s, lambda x: F.size(words(x))), "_content": content(w), "_long": content(w, 4), "_longer": content(w, 5), "evasion": evasion(raw)})
+    s, raw, norm = F.col("_sentences"), F.col("_raw"), F.col("_norm")
+    df = df.withColumns({"_lengths": F.transform(s, lambda x: F.size(words(x))), "_content": content("_words"), "_long": content("_words", 4), "_longer": content("_words", 5), "evasion": evasion(raw)})
     starters = F.filter(F.transform(s, lambda x: F.slice(words(F.lower(x)), 1, 2)), lambda t: F.size(t) >= 2)
     # arrays that lambdas index must be columns of their own
     df = df.withColumns({"_mean_length": mean_of(F.col("_lengths")), "_s_long": F.array_sort("_long"), "_s_longer": F.array_sort("_longer"), "_s_tri": F.array_sort(trigrams(F.col("_content"))), "_s_start": F.array_sort(F.transform(starters, lambda t: F.array_join(t, " ")))})
@@ -219,8 +229,8 @@ def with_metrics(df: DataFrame) -> DataFrame:
             "number_count": count(raw, D.NUMBER),
             "citation_count": count(raw, D.CITATION),
             "dash_count": chars_of(raw, "—–"),
-            "transition_count": F.size(among(w, L.TRANSITIONS)).cast("long"),
-            "claim_count": F.size(among(w, L.CLAIM_VERBS + L.UNSUPPORTED_CLAIMS)).cast("long"),
+            "transition_count": F.size(among("_words", L.TRANSITIONS)).cast("long"),
+            "claim_count": F.size(among("_words", L.CLAIM_VERBS + L.UNSUPPORTED_CLAIMS)).cast("long"),
             "repetition_count": frequent(F.col("_s_long"), 4),
             "trigram_repeats": F.when(F.size("_content") >= 9, frequent(F.col("_s_tri"), 3)).otherwise(0),
             "repetition_density": F.when(F.size(longs) > 0, (F.size(longs) - F.size(F.array_distinct(longs))) / F.size(longs)).otherwise(0.0),

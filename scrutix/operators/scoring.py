@@ -19,9 +19,9 @@ def activation(n: Column) -> Column:
 def conditions() -> dict[str, tuple[Column, Column]]:
     """For each signal when it fires and its count, over ``with_metrics`` columns."""
     c = F.col
-    n, words = c("word_count"), c("_words")
-    term = lambda terms: F.size(T.among(words, terms)).cast("long")
-    phrase = lambda phrases: T.occurrences(c("_lower"), phrases)
+    n = c("word_count")
+    term = lambda terms: F.size(T.among("_words", terms)).cast("long")
+    phrase = lambda phrases: T.occurrences("_lower", phrases)
     one = F.lit(1).cast("long")
     ev = c("evasion.invisible_chars") + c("evasion.bidi_controls") + c("evasion.mixed_script_words")
     h, b, e = c("structure.headers"), c("structure.bold_runs"), c("structure.emoji_bullets")
