@@ -10,8 +10,9 @@
 4. Pairs are estimated jointly by likelihood from both sketches and the known
    set sizes; those that may reach the threshold are confirmed on full sets.
 5. Confirmed links are contracted to components.  Only buckets that still hold
-   several components need more: there, pairs across components that the
-   bucket's star missed are estimated and confirmed in the same way.
+   several components need more: ``ROUNDS`` times their members meet another
+   hub of another component; what is open then is compared exactly, tile by
+   tile, and only likely pairs across components leave a task.
 
 At a similarity of 0.8 a pair escapes all 64 bands with probability 8e-6 (less
 above it); links inside a component that others connect need not be found.
@@ -40,6 +41,8 @@ ROWS = 8
 BANDS = 64
 REGISTERS = ROWS * BANDS
 MARGIN = 0.1
+ROUNDS = 2
+TILE = 512
 BITMAP_BITS = 1 << 23
 
 _rng = np.random.default_rng(20240611)
@@ -225,6 +228,67 @@ def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
     return both.select(*columns).mapInArrow(arrow_rows(one, schema, columns), "a long, b long")
 
 
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, node, c, size)`` of buckets of three or more that hold several components."""
+    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    per = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("size > 2 AND c0 < c1").select("key", "size")
+    return labelled.join(per, "key")
+
+
+def _restarred(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs of every open bucket's members outside a new hub's component with that hub.
+
+    The hub is another member in each bucket and turn, so a node meets up to
+    ``BANDS`` members of its group; the pairs stay linear in the rows.
+    """
+    order = F.xxhash64(F.lit(turn), "key", "node")
+    hub = rest.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "c")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.c").alias("hc"))
+    outside = rest.join(hub, "key").filter("c <> hc")
+    return outside.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def across(rest: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, cls_a, cls_b)``: likely pairs across components of the buckets still open.
+
+    Buckets are cut into tiles of about ``TILE`` members and compared tile by
+    tile in numpy, so only pairs that may reach the threshold leave a task,
+    each in the first band that the two share.
+    """
+    import pyarrow as pa
+
+    rows = rest.join(reps, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE)).cast("int"))
+    tiles = materialize(rows.groupBy("key", "part").agg(F.collect_list(F.struct("node", "c", "n_shingles", "regs", "cls")).alias("rows")), "near-tiles")
+    pairs = tiles.alias("x").join(tiles.select("key", F.col("part").alias("part_y"), F.col("rows").alias("rows_y")), "key").filter("part <= part_y").select("key", "part", "part_y", "rows", "rows_y")
+
+    def run(batches):
+        for batch in batches:
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                x, y, alone = r["rows"], r["rows_y"], r["part"] == r["part_y"]
+                regs = np.frombuffer(b"".join(m["regs"] for m in y), np.uint8).reshape(len(y), REGISTERS)
+                ids, comps, sizes = (np.array([m[c] for m in y]) for c in ("node", "c", "n_shingles"))
+                out: list[tuple] = []
+                for m in x:
+                    pick = (comps != m["c"]) & (100 * np.minimum(sizes, m["n_shingles"]) >= percent * np.maximum(sizes, m["n_shingles"]))
+                    if alone:
+                        pick &= ids > m["node"]
+                    at = np.flatnonzero(pick)
+                    if not len(at):
+                        continue
+                    own = np.frombuffer(m["regs"], np.uint8)
+                    other = regs[at]
+                    n = np.full(len(at), float(m["n_shingles"]))
+                    j = estimate((own > other).sum(axis=1), (own < other).sum(axis=1), n, sizes[at].astype(float))
+                    for i in at[j >= percent / 100 - MARGIN]:
+                        shared = np.frombuffer(m["regs"], "<u8") == np.frombuffer(y[i]["regs"], "<u8")
+                        if band_keys(m["regs"])[shared.argmax()] == r["key"]:
+                            p, q = (m, y[i]) if m["node"] < y[i]["node"] else (y[i], m)
+                            out.append((p["node"], q["node"], p["cls"], q["cls"]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["a", "b", "cls_a", "cls_b"])
+
+    return pairs.mapInArrow(run, "a long, b long, cls_a binary, cls_b binary")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for every document."""
     all_rows = materialize(sketch(documents, k), "near-sketch")
@@ -238,17 +302,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     links = materialize(confirm(materialize(likely(star, reps, percent), "near-likely"), documents, k, percent), "near-links")
     labels = connected_components(links)
 
-    # buckets of three or more that still hold several components
-    labelled = members.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("c"))
-    open_keys = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 2 AND c0 < c1").select("key")
-    rest = materialize(labelled.join(open_keys, "key", "left_semi").filter("node <> hub"), "near-rest")
-    x = rest.select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
-    y = rest.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-    across = x.join(y, "key").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
-    more = materialize(likely(across, reps, percent), "near-likely")
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(confirm(more, documents, k, percent)))
+    for turn in range(ROUNDS + 1):
+        rest = materialize(_open_buckets(members, labels), "near-rest")
+        if rest.isEmpty():
+            break
+        pairs = likely(_restarred(rest, turn), reps, percent) if turn < ROUNDS else across(rest, reps, percent)
+        links = materialize(links.unionByName(confirm(materialize(pairs, "near-likely"), documents, k, percent)), "near-links")
+        labels = connected_components(links)
 
     node = reps.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("component", "node").alias("_c"))
     out = all_rows.select("doc_id", "cls", "n_shingles").join(node, "cls", "left")
