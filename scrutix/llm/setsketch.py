@@ -12,7 +12,7 @@
 5. Confirmed links are contracted to components.  Only buckets that still hold
    several components need more: ``ROUNDS`` times their members meet another
    hub of another component; what is open then is compared exactly, tile by
-   tile, and only likely pairs across components leave a task.
+   tile, and only links that join components leave a task.
 
 At a similarity of 0.8 a pair escapes all 64 bands with probability 8e-6 (less
 above it); links inside a component that others connect need not be found.
@@ -41,7 +41,7 @@ ROWS = 8
 BANDS = 64
 REGISTERS = ROWS * BANDS
 MARGIN = 0.1
-ROUNDS = 2
+ROUNDS = 1
 TILE = 512
 BITMAP_BITS = 1 << 23
 
@@ -195,12 +195,16 @@ def _in_bitmap(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return d.filter(F.getbit(byte.cast("int"), (at % 8).cast("int")) == 1).select("doc_id", "text")
 
 
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of the documents in ``ids`` (column ``id``), as a table."""
+    return materialize(_in_bitmap(documents.filter(F.col("doc_id").isNotNull()), ids).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "near-texts")
+
+
 def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """The links ``(a, b)`` among ``pairs``, decided on full sets of shingles."""
     import pyarrow as pa
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(_in_bitmap(documents.filter(F.col("doc_id").isNotNull()), ids).join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "near-texts")
+    texts = texts_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     held: dict = {}
@@ -247,46 +251,72 @@ def _restarred(rest: DataFrame, turn: int) -> DataFrame:
     return outside.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def across(rest: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, cls_a, cls_b)``: likely pairs across components of the buckets still open.
+def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join components of the buckets still open.
 
-    Buckets are cut into tiles of about ``TILE`` members and compared tile by
-    tile in numpy, so only pairs that may reach the threshold leave a task,
-    each in the first band that the two share.
+    Buckets are cut into tiles of about ``TILE`` members.  A pair of tiles is
+    estimated row by row in numpy; likely pairs across components (each in the
+    first band that the two share) are confirmed on full sets in the same
+    task, and only links that join two of its components leave it.
     """
     import pyarrow as pa
 
-    rows = rest.join(reps, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE)).cast("int"))
-    tiles = materialize(rows.groupBy("key", "part").agg(F.collect_list(F.struct("node", "c", "n_shingles", "regs", "cls")).alias("rows")), "near-tiles")
-    pairs = tiles.alias("x").join(tiles.select("key", F.col("part").alias("part_y"), F.col("rows").alias("rows_y")), "key").filter("part <= part_y").select("key", "part", "part_y", "rows", "rows_y")
+    texts = texts_of(documents, rest.select(F.col("node").alias("id")).distinct())
+    rows = rest.join(reps, "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE)).cast("int"))
+    tiles = materialize(rows.groupBy("key", "part").agg(F.collect_list(F.struct("node", "c", "n_shingles", "regs", "cls", "text")).alias("rows")), "near-tiles")
+    pairs = tiles.join(tiles.select("key", F.col("part").alias("part_y"), F.col("rows").alias("rows_y")), "key").filter("part <= part_y")
+
+    def links(key, x, y, alone):
+        regs = np.frombuffer(b"".join(m["regs"] for m in y), np.uint8).reshape(len(y), REGISTERS)
+        bands_y = regs.view("<u8")
+        ids, comps, sizes = (np.array([m[c] for m in y]) for c in ("node", "c", "n_shingles"))
+        joined: dict = {}  # components that links of this task have joined
+        sets: dict = {}
+
+        def root(c):
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        def members(m):
+            """The set, or nothing if the text is another row's of the same id."""
+            if m["cls"] not in sets:
+                words = words_of(m["text"])
+                if digest_of(words) != m["cls"]:
+                    return None
+                sets[m["cls"]] = shingle_set(words, k)
+            return sets[m["cls"]]
+
+        for m in x:
+            pick = (comps != m["c"]) & (100 * np.minimum(sizes, m["n_shingles"]) >= percent * np.maximum(sizes, m["n_shingles"]))
+            at = np.flatnonzero(pick & (ids > m["node"]) if alone else pick)
+            if not len(at):
+                continue
+            own, other = np.frombuffer(m["regs"], np.uint8), regs[at]
+            j = estimate((own > other).sum(axis=1), (own < other).sum(axis=1), np.full(len(at), float(m["n_shingles"])), sizes[at].astype(float))
+            at = at[j >= percent / 100 - MARGIN]
+            first = (bands_y[at] == own.view("<u8")).argmax(axis=1)
+            for i in at[band_keys(m["regs"])[first] == key]:
+                a, b = root(m["c"]), root(y[i]["c"])
+                if a == b:
+                    continue
+                p, q = members(m), members(y[i])
+                if p and q:
+                    both = len(p & q)
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        joined[max(a, b)] = min(a, b)
+                        yield m["node"], y[i]["node"]
 
     def run(batches):
         for batch in batches:
-            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                x, y, alone = r["rows"], r["rows_y"], r["part"] == r["part_y"]
-                regs = np.frombuffer(b"".join(m["regs"] for m in y), np.uint8).reshape(len(y), REGISTERS)
-                ids, comps, sizes = (np.array([m[c] for m in y]) for c in ("node", "c", "n_shingles"))
-                out: list[tuple] = []
-                for m in x:
-                    pick = (comps != m["c"]) & (100 * np.minimum(sizes, m["n_shingles"]) >= percent * np.maximum(sizes, m["n_shingles"]))
-                    if alone:
-                        pick &= ids > m["node"]
-                    at = np.flatnonzero(pick)
-                    if not len(at):
-                        continue
-                    own = np.frombuffer(m["regs"], np.uint8)
-                    other = regs[at]
-                    n = np.full(len(at), float(m["n_shingles"]))
-                    j = estimate((own > other).sum(axis=1), (own < other).sum(axis=1), n, sizes[at].astype(float))
-                    for i in at[j >= percent / 100 - MARGIN]:
-                        shared = np.frombuffer(m["regs"], "<u8") == np.frombuffer(y[i]["regs"], "<u8")
-                        if band_keys(m["regs"])[shared.argmax()] == r["key"]:
-                            p, q = (m, y[i]) if m["node"] < y[i]["node"] else (y[i], m)
-                            out.append((p["node"], q["node"], p["cls"], q["cls"]))
+            for n in range(batch.num_rows):
+                r = batch.slice(n, 1).to_pylist()[0]
+                out = list(links(r["key"], r["rows"], r["rows_y"], r["part"] == r["part_y"]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["a", "b", "cls_a", "cls_b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long, cls_a binary, cls_b binary")
+    return pairs.select("key", "part", "part_y", "rows", "rows_y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -306,8 +336,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         rest = materialize(_open_buckets(members, labels), "near-rest")
         if rest.isEmpty():
             break
-        pairs = likely(_restarred(rest, turn), reps, percent) if turn < ROUNDS else across(rest, reps, percent)
-        links = materialize(links.unionByName(confirm(materialize(pairs, "near-likely"), documents, k, percent)), "near-links")
+        if turn < ROUNDS:
+            found = confirm(materialize(likely(_restarred(rest, turn), reps, percent), "near-likely"), documents, k, percent)
+        else:
+            found = across(rest, reps, documents, k, percent)
+        links = materialize(links.unionByName(found), "near-links")
         labels = connected_components(links)
 
     node = reps.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("component", "node").alias("_c"))
