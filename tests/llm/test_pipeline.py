@@ -34,4 +34,5 @@ def test_awkward_documents(spark):
     out = P.near_duplicates(spark, docs, SF)
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 2, 3, None]
     assert P.near_duplicates(spark, docs.filter("false"), SF).count() == 0
-    assert P.pack(spark, P.target_weights(spark, P.personal_data(spark, out, SF), SF), SF).count() == 4
+    pieces = P.pack(spark, P.target_weights(spark, P.personal_data(spark, out, SF), SF), SF)
+    assert {r.doc_id for r in pieces.collect()} == {1, 2, 3, None}  # small sources may be read twice
