@@ -41,8 +41,8 @@ ROWS = 8
 BANDS = 64
 REGISTERS = ROWS * BANDS
 MARGIN = 0.1
-ROUNDS = 1
-TILE = 512
+ROUNDS = 2
+TILE = 256
 BITMAP_BITS = 1 << 23
 
 _rng = np.random.default_rng(20240611)
@@ -251,6 +251,27 @@ def _restarred(rest: DataFrame, turn: int) -> DataFrame:
     return outside.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _packed(batches):
+    """Tiles as compressed Arrow tables: texts of near copies shrink a lot together."""
+    import pyarrow as pa
+
+    for b in batches:
+        for n in range(b.num_rows):
+            rows = b.column(2)[n].values
+            table = pa.Table.from_struct_array(rows) if hasattr(pa.Table, "from_struct_array") else pa.Table.from_pylist(rows.to_pylist())
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(n, 1), b.column(1).slice(n, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["key", "part", "rows"])
+
+
+def _unpacked(blob: bytes) -> list[dict]:
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(blob) as r:
+        return r.read_all().to_pylist()
+
+
 def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` that join components of the buckets still open.
 
@@ -264,7 +285,8 @@ def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, perce
     texts = texts_of(documents, rest.select(F.col("node").alias("id")).distinct())
     rows = rest.join(reps, "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE)).cast("int"))
-    tiles = materialize(rows.groupBy("key", "part").agg(F.collect_list(F.struct("node", "c", "n_shingles", "regs", "cls", "text")).alias("rows")), "near-tiles")
+    grouped = rows.groupBy("key", "part").agg(F.collect_list(F.struct("node", "c", "n_shingles", "regs", "cls", "text")).alias("rows"))
+    tiles = materialize(grouped.mapInArrow(_packed, "key long, part int, rows binary"), "near-tiles")
     pairs = tiles.join(tiles.select("key", F.col("part").alias("part_y"), F.col("rows").alias("rows_y")), "key").filter("part <= part_y")
 
     def links(key, x, y, alone):
@@ -312,7 +334,7 @@ def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, perce
         for batch in batches:
             for n in range(batch.num_rows):
                 r = batch.slice(n, 1).to_pylist()[0]
-                out = list(links(r["key"], r["rows"], r["rows_y"], r["part"] == r["part_y"]))
+                out = list(links(r["key"], _unpacked(r["rows"]), _unpacked(r["rows_y"]), r["part"] == r["part_y"]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
