@@ -29,7 +29,7 @@ TIERS = (256, 512, 1024)
 END_ID = 0
 POOL = 512
 STEP_TOKENS = 8192
-CACHE = 300_000
+CACHE = 100_000
 LONG_TEXT = 1 << 20
 
 _BESIDE_SPACE = re.compile(r" \s|\s ")
@@ -47,18 +47,29 @@ class Encoder:
 
     def __init__(self, vocabulary: str = "byte_bpe_50k"):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        self.path = public_tokenizers.path(f"{vocabulary}.json")
+        self._full = None
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        with open(self.path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.cache: dict[str, bytes] = {}
 
+    @property
+    def full(self):
+        """The tokenizer itself, loaded when a text needs it."""
+        if self._full is None:
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self.path)
+        return self._full
+
     def _unit(self, unit: str) -> bytes:
         if unit.isascii() or max(unit) < "ɐ":
             ids = self.fast.encode_ordinary(unit)
@@ -289,6 +300,7 @@ def pack(documents: DataFrame, vocabulary: str = "byte_bpe_50k", with_ids: bool
             put(window)
         if rows:
             yield flush()
+        enc.cache.clear()  # an idle worker keeps its memory
 
     return documents.select("doc_id", "text").mapInArrow(run, types)
 

@@ -77,7 +77,7 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     """Distinct 64-bit hashes of the shingles."""
     import xxhash
 
-    if len(_words) > 500_000:  # a cache only: hashes don't depend on it
+    if len(_words) > 100_000:  # a cache only: hashes don't depend on it
         _words.clear()
     get, h = _words.get, np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
@@ -138,7 +138,13 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
             yield 100, (doc_id, None, 0, None)
 
     schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("regs", pa.binary())])
-    return documents.select("doc_id", "text").mapInArrow(arrow_rows(one, schema, ["doc_id", "text"]), "doc_id long, cls binary, n_shingles long, regs binary")
+    rows = arrow_rows(one, schema, ["doc_id", "text"])
+
+    def run(batches):
+        yield from rows(batches)
+        _words.clear()  # an idle worker keeps its memory
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, cls binary, n_shingles long, regs binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
