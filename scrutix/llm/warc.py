@@ -58,7 +58,7 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, payl
         if refers["page_id"] is not None:
             lines.append(f"Refers-To-Page-ID: {refers['page_id']}")
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
-    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
