@@ -38,13 +38,18 @@ BASE = {
 #: Cheap tests that a text must pass before its pattern is tried.
 GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
+#: A secret's value, of any length, ends at white space or a double quote; brackets,
+#: commas and the like belong to it if more of it follows them.
+VALUE = r"[A-Za-z0-9\u00C0-\u024F_+/.!@#$%^&*?~=:-]"
+INNER = r"[,;|()\[\]{}<>\\'`]"
+
 #: Generators of further candidates (kind, pattern, guard); the span is the whole match.
 GENERATORS = {
     "email_words": ("email", rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]{{1,63}}+){{1,4}}+", r"(?:\[at\]|\(at\)|\x20at\x20)"),
     "card_any": ("card", r"(?<![0-9.+-])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9-])", r"[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}"),
     "phone_local": ("phone", r"(?<![0-9+.-])(?<![0-9+][\x20(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"),
     "ssn": ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    "secret": ("secret", r"(?i)(?<![a-z])(?:token|password|passwd|secret|api[_-]?key)[\x20\t]?[:=][\x20\t]?\"?[A-Za-z0-9_+/.-]{8,128}+\"?", r"(?i)(?:token|password|passwd|secret|key)[\x20\t]?[:=]"),
+    "secret": ("secret", rf"(?i)(?<![a-z])(?:token|password|passwd|secret|api[_-]?key)[\x20\t]?[:=][\x20\t]?\"?(?:{VALUE}|{INNER}++(?={VALUE})){{8,}}+\"?", r"(?i)(?:token|password|passwd|secret|key)[\x20\t]?[:=]"),
     "iban": ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
 }
 KINDS = ("email", "ip", "card", "phone", "ssn", "secret", "iban")

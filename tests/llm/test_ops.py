@@ -378,6 +378,16 @@ def test_redaction_leaves_no_base_span(spark, odd):
     assert pii.redact(odd).count() == 7 and pii.redact(odd).columns == odd.columns and pii.op9_pii(empty(spark)).count() == 0
 
 
+def test_secrets_are_taken_whole(spark):
+    values = [('"', "aB3_" * 75), ("", "aB3.xY7-" * 40), ("", "hunter22!rest"), ("", "p4ss(w0rd),[x]{y};z'é9"), ("", "9!" * 50_000), ("", "a1b2c3d4" + ")" * 50_000 + "e5"), ("", "a1b2c3d4e5" + "),;" * 50_000)]
+    whole = [f"api_key={q}{v.rstrip('),;')}{q}" for q, v in values]
+    texts = [f"config {w}{v[len(v.rstrip('),;')):]} end" for w, (_, v) in zip(whole, values)]
+    for r in pii.find_spans(docs(spark, texts)).collect():
+        assert [tuple(s) for s in r.added_secret] == [(7, 7 + len(whole[r.doc_id]))], r.doc_id
+    for r in pii.redact(docs(spark, texts)).collect():
+        assert r.text == texts[r.doc_id].replace(whole[r.doc_id], "[SECRET]"), r.doc_id
+
+
 # --- 10 ----------------------------------------------------------------------
 
 
