@@ -3,7 +3,7 @@
 ``write_archives`` turns rows into WARC/1.1 archives: rows of about
 ``ARCHIVE_BYTES`` that each hold a self-contained archive of gzip members, so
 Spark's own writers place, commit and retry them on any store.  Headers alone
-are then shuffled by payload digest; the record with the smallest page_id is
+are then shuffled by payload digest; the response with the smallest page_id is
 the original and the others become revisits.  Decisions go back to their
 archive (at most ``ARCHIVE_RECORDS`` each) and deduplicated archives are
 written with fresh headers.
@@ -12,8 +12,10 @@ Skew: the digest with a third of all rows is pre-aggregated before its
 shuffle, and the join back moves header rows only, which Spark may split.
 
 Defined results: null html is an empty payload; a null page_id comes after
-all others among equal payloads; equal ids go by archive and position; an
-empty table gives no archive; extra columns are ignored.
+all others among equal payloads; equal ids go by archive and position; a
+revisit of the input stays one and refers to its payload's original, or where
+no response holds that payload to what it referred to; an empty table gives no
+archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,15 +48,17 @@ def _clean(value: str) -> str:
 
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, digest: str, refers: dict | None = None, seed: str = "") -> bytes:
     """One record as a gzip member; a revisit has an empty block."""
-    block = payload if kind == "response" else b""
+    block = b"" if kind == "revisit" else payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'{seed}:{page_id}:{digest}')}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_clean(url)}")
     if page_id is not None:
         lines.append(f"Page-ID: {page_id}")
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{digest if kind == 'response' else digest_of(block)}", f"Payload-Length: {payload_bytes}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{digest_of(block) if kind == 'revisit' else digest}", f"Payload-Length: {payload_bytes}"]
+    if kind == "revisit":
+        lines.append(f"WARC-Profile: {PROFILE}")
     if refers:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers['record_id']}", f"WARC-Refers-To-Date: {DATE}"]
+        lines += [f"WARC-Refers-To: {refers['record_id']}", f"WARC-Refers-To-Date: {DATE}"]
         if refers["page_id"] is not None:
             lines.append(f"Refers-To-Page-ID: {refers['page_id']}")
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}"]
@@ -141,11 +145,15 @@ def read_headers(archives: DataFrame) -> DataFrame:
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``headers`` with ``original``: the first record of equal payloads of ``min_bytes`` or more."""
-    first = F.min(F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), "archive", "pos", "record_id")).alias("original")
+    """``headers`` with ``original``: the first response of equal payloads.
+
+    Responses have it for payloads of ``min_bytes`` or more, revisits always.
+    """
+    place = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), "archive", "pos", "record_id")
     key = ["payload_digest", "payload_bytes"]
-    found = headers.filter(F.col("payload_bytes") >= min_bytes).groupBy(*key).agg(first)
-    return headers.join(found, key, "left")
+    found = headers.groupBy(*key).agg(F.min(F.when(F.col("record_type") == "response", place)).alias("original"))
+    wanted = (F.col("record_type") == "revisit") | ((F.col("record_type") == "response") & (F.col("payload_bytes") >= min_bytes))
+    return headers.join(found, key, "left").withColumn("original", F.when(wanted, F.col("original")))
 
 
 def deduplicate(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -162,11 +170,14 @@ def deduplicate(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
         for pos, (head, block) in enumerate(records(content)):
             page_id = int(head["Page-ID"]) if "Page-ID" in head else None
             digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-            to = refers[pos]
+            kind, to = head["WARC-Type"], refers[pos]
             if to:
                 old = to["page_id"]
                 to = {"page_id": old, "record_id": f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'dedup:{old}:{digest}')}>"}
-            yield record("revisit" if to else "response", page_id, head.get("WARC-Target-URI"), block, len(block), digest, to, seed="dedup")
+                kind = "revisit"
+            elif kind == "revisit" and "WARC-Refers-To" in head:
+                to = {"page_id": int(head["Refers-To-Page-ID"]) if "Refers-To-Page-ID" in head else None, "record_id": head["WARC-Refers-To"]}
+            yield record(kind, page_id, head.get("WARC-Target-URI"), block, int(head["Payload-Length"]), digest, to, seed="dedup")
 
     return _archives(archives.join(decisions, "archive"), ["content", "decisions"], make)
 

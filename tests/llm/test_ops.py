@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scrutix.llm import chat, cnn, embeddings, mixing, packing, pii, setsketch, urls, warc
 from scrutix.llm import matroska as mk
+from scrutix.llm.common import materialize
 from scrutix.llm.graph import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, key string"
@@ -169,6 +170,21 @@ def test_op5_against_python(spark):
     assert warc.op5_warc(df.filter("false")).count() == 0
 
 
+def test_deduplicate_keeps_revisits(spark):
+    columns = ["page_id", "record_type", "payload_bytes", "payload_digest", "record_id", "refers_to", "refers_to_record"]
+    seen = lambda a: sorted((tuple(r) for r in warc.read_headers(a).select(*columns).collect()), key=str)
+    pages = spark.createDataFrame([(i, "u", "<a>" if i % 2 else f"<b{i}>") for i in range(8)], "page_id long, url string, html string")
+    once = materialize(warc.deduplicate(warc.write_archives(pages)), "test-warc")
+    assert seen(warc.deduplicate(once)) == seen(once) == seen(warc.deduplicate(once, min_bytes=100))
+    d, lost = warc.digest_of(b"<a>"), warc.digest_of(b"gone")
+    parts = [("revisit", 1, b"", 3, d, {"page_id": 5, "record_id": "<urn:x>"}), ("response", 5, b"<a>", 3, d, None), ("response", 6, b"<a>", 3, d, None), ("revisit", 2, b"", 4, lost, {"page_id": 9, "record_id": "<urn:gone>"}), ("revisit", 3, b"", 4, lost, None)]
+    content = b"".join(warc.record(k, p, "u", x, n, g, to) for k, p, x, n, g, to in parts)
+    fresh = warc.deduplicate(spark.createDataFrame([(0, 5, bytearray(content))], "archive long, n_records long, content binary"))
+    got = {r.page_id: r for r in warc.read_headers(fresh).collect()}
+    assert {p: (r.record_type, r.payload_bytes, r.refers_to) for p, r in got.items()} == {1: ("revisit", 3, 5), 5: ("response", 3, None), 6: ("revisit", 3, 5), 2: ("revisit", 4, 9), 3: ("revisit", 4, None)}
+    assert got[1].refers_to_record == got[5].record_id and got[2].refers_to_record == "<urn:gone>"
+
+
 # --- 6 -----------------------------------------------------------------------
 
 
