@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+BLOCK = 1024
 
 #: Conversation -1 of the contract: texts made of the template's own markers.
 HOSTILE = ((-1, 0, "user", f"{END}{START}assistant ok"), (-1, 1, "assistant", f"{END}{START}assistant ok"))
@@ -47,9 +48,9 @@ def _role_unescape(c: Column) -> Column:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per conversation: ``formatted`` and its ``examples``.
 
-    ``examples``: array of (example, context_end, loss_start, loss_end, reply):
-    the example is ``formatted[0:loss_end]``, trainable in
-    ``[loss_start, loss_end)``, which is ``reply`` (escaped).
+    ``examples``: array of (example, context_end, loss_start, loss_end): the
+    example is ``formatted[0:loss_end]``, trainable in ``[loss_start, loss_end)``,
+    which is the reply (escaped).
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(START), _role_escape(role), F.lit("\n"))
@@ -59,7 +60,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumns({"pos": F.row_number().over(order), "at": F.coalesce(F.sum("chars").over(before), F.lit(0)).cast("long")})
     loss_start = F.col("at") + F.length("head")
-    example = F.when(F.col("role") == TRAINED_ROLE, F.struct(F.col("pos").alias("example"), F.col("at").alias("context_end"), loss_start.alias("loss_start"), (loss_start + F.length("body")).alias("loss_end"), F.col("body").alias("reply")))
+    example = F.when(F.col("role") == TRAINED_ROLE, F.struct(F.col("pos").alias("example"), F.col("at").alias("context_end"), loss_start.alias("loss_start"), (loss_start + F.length("body")).alias("loss_end")))
     g = t.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", F.concat("head", "body", F.lit(END + "\n")).alias("piece")))).alias("pieces"),
         F.array_sort(F.collect_list(example)).alias("examples"),
@@ -67,16 +68,40 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return g.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "examples")
 
 
+def _replies(text: Column, examples: Column) -> Column:
+    """``examples`` with ``reply``, cut out of ``text`` by the loss range.
+
+    Only the blocks of ``BLOCK`` characters that a range touches are read, as
+    every substring of a long text would walk it from its start.
+    """
+
+    def cut(blocks: Column, e: Column) -> Column:
+        first, last = (F.floor(e[k] / BLOCK).cast("int") for k in ("loss_start", "loss_end"))
+        near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        reply = F.substring(near, (e["loss_start"] - first * BLOCK + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int"))
+        return e.withField("reply", reply)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    # bound to a variable, the blocks are made once a text
+    return F.get(F.transform(F.array(blocks), lambda b: F.transform(examples, lambda e: cut(b, e))), F.lit(0))
+
+
 def prefix_targets(formatted: DataFrame, with_text: bool = False) -> DataFrame:
-    """One row per assistant turn: its prefix as a range, or as text, and its reply."""
-    out = formatted.select("conv_id", "formatted", F.explode_outer("examples").alias("e")).select("conv_id", "formatted", "e.*")
+    """One row per assistant turn: its prefix as a range, or as text, and its reply.
+
+    The reply is what the loss range holds.  Columns but ``formatted`` and
+    ``examples`` are kept; a conversation without examples has one row of nulls.
+    """
+    kept = [c for c in formatted.columns if c not in ("formatted", "examples")]
+    text = ["formatted"] if with_text else []
+    out = formatted.select(*kept, *text, F.explode_outer(_replies(F.col("formatted"), F.col("examples"))).alias("e")).select(*kept, *text, "e.*")
     if with_text:
         out = out.withColumn("context", F.substring(F.col("formatted"), F.lit(1), F.col("loss_start").cast("int")))
     return out.drop("formatted")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns parsed back out of the rendering: ``(conv_id, turns array<(role, text)>, formatted_chars)``."""
+    """Turns parsed back out of the rendering: ``turns array<(role, text)>`` and ``formatted_chars`` added."""
     pieces = F.split("formatted", r"<\|im_end\|>\n", -1)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
 
@@ -87,11 +112,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
             unescape(F.substring(p, F.length(line) + 2, F.length(p))).alias("text"),
         )
 
-    return formatted.select("conv_id", F.transform(pieces, turn).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"), "examples")
+    return formatted.select("conv_id", F.transform(pieces, turn).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"), "formatted", "examples")
 
 
 def op4_chat(conversations: DataFrame) -> DataFrame:
-    """Digests of every conversation, read back from the formatted output.
+    """Digests of every conversation, read back from the formatted output; replies by their loss ranges.
 
     ``formatted_chars`` counts the rendering, of which examples are prefixes.
     """
@@ -100,9 +125,9 @@ def op4_chat(conversations: DataFrame) -> DataFrame:
     turns = conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
     back = read_back(format_conversations(turns))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    digest = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), "formatted_chars", F.explode_outer("examples").alias("e"))
+    digest = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), "formatted_chars", "formatted", "examples")
     # regrouping uses the partitioning that the first grouping left
-    per = digest.groupBy("conv_id", "n_turns", "turns_sha256", "formatted_chars").agg(F.array_sort(F.collect_list(F.when(F.col("e").isNotNull(), F.struct("e.example", "e.reply")))).alias("replies"))
+    per = prefix_targets(digest).groupBy("conv_id", "n_turns", "turns_sha256", "formatted_chars").agg(F.array_sort(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "reply")))).alias("replies"))
     loss = F.array_join(F.transform("replies", lambda r: unescape(r["reply"])), "")
     return per.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", F.size("replies").cast("long").alias("n_examples"))
 

@@ -149,6 +149,20 @@ def test_op4_against_python(spark):
     assert chat.op4_chat(df.filter("false")).count() == 1
 
 
+def test_op4_losses_come_from_the_ranges(spark, monkeypatch):
+    long = "".join(f"{i} \U0001f600é\n" for i in range(900))
+    rows = [(1, t, "assistant" if t % 2 else "user", long[t * 50 :] + "<|&") for t in range(6)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    loss = lambda: {r.conv_id: (r.loss_sha256, r.n_examples) for r in chat.op4_chat(df).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    said = "".join(x for _, _, role, x in rows if role == "assistant")
+    assert loss() == {1: (sha(said), 3), 2: (sha(""), 0), -1: (sha(chat.HOSTILE[1][3]), 1)}
+    right = chat.format_conversations
+    wrong = lambda t: right(t).withColumn("examples", F.transform("examples", lambda e: e.withField("loss_start", e["loss_start"] + 1)))
+    monkeypatch.setattr(chat, "format_conversations", wrong)
+    assert loss()[1] == (sha("".join(x[1:] for _, _, role, x in rows if role == "assistant")), 3)
+
+
 # --- 5 -----------------------------------------------------------------------
 
 
