@@ -132,7 +132,8 @@ def mix(documents: DataFrame, entropy: float | None = None, max_repeats: float |
 
     With ``details`` epoch, block, order_key, tokens, weight and exponent are
     added, in place of input columns of these names; row order is given by
-    (``block``, ``order_key``).  Without, the columns stay as they are.
+    (``block``, ``order_key``).  Without, the columns stay as they are and
+    the rows are ranges of that order, sorted, one a partition.
     """
     columns = documents.columns
     row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")
@@ -154,8 +155,6 @@ def mix(documents: DataFrame, entropy: float | None = None, max_repeats: float |
     start = F.floor(n * F.expr("_epoch * 0.6180339887498949D % 1"))
     d = d.withColumn("_place", F.pmod(F.col("_at") + start, n))
     d = d.filter((F.col("_epoch") < F.col("whole")) | (F.col("_place") < F.col("rest")))
-    if not details:
-        return d.select("_row.*")
     part = (F.col("_epoch") * n + F.col("_place")) / F.greatest(F.col("budget"), F.lit(1.0))
     added = {
         "epoch": F.col("_epoch").cast("long"),
@@ -165,6 +164,10 @@ def mix(documents: DataFrame, entropy: float | None = None, max_repeats: float |
         "weight": F.col("weight"),
         "exponent": F.col("exponent"),
     }
+    if not details:
+        # rows of a block lie together, in its order, for what reads them next
+        order = d.select(added["block"].alias("_block"), added["order_key"].alias("_key"), "_row")
+        return order.repartitionByRange("_block", "_key").sortWithinPartitions("_block", "_key").select("_row.*")
     return d.select(*(F.col("_row").getField(c).alias(c) for c in columns if c not in added), *(c.alias(k) for k, c in added.items()))
 
 

@@ -495,3 +495,19 @@ def test_entropy_target(spark):
     w /= w.sum()
     assert -(w * np.log(w)).sum() == pytest.approx(1.0, abs=1e-5)
     assert mixing.bisect_exponent(shares, entropy=9.0) == 0.0 and mixing.bisect_exponent(shares, entropy=0.0) == 1.0
+
+
+def test_mix_without_details_is_in_block_order(spark):
+    rows = [(i, "w " * 400, f"s{i % 3}") for i in range(9_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {}
+    for r in mixing.mix(df).collect():
+        want.setdefault(r.doc_id, []).append((r.block, r.order_key))
+    out = materialize(mixing.mix(df, details=False), "test-mix")
+    assert out.columns == df.columns and all(len(v) == 1 for v in want.values()) and len({v[0][0] for v in want.values()}) == 4
+    files = {}
+    for r in out.withColumn("f", F.input_file_name()).collect():
+        files.setdefault(r.f, []).append(want[r.doc_id][0])
+    assert all(v == sorted(v) for v in files.values()) and sum(map(len, files.values())) == len(rows)
+    runs = sorted((min(v), max(v)) for v in files.values())
+    assert all(a[1] <= b[0] for a, b in zip(runs, runs[1:]))
