@@ -32,7 +32,7 @@ def admit(times: list[float], log: list[float], limit: int, window: float) -> tu
 
 
 def rate_limit(events: DataFrame, key: str = "user_id", time: str = "ts", order: str = "event_id", limit: int = 120, window: float = 60.0) -> DataFrame:
-    """``(key, order, allowed)`` of a batch of events, in time order for each key.
+    """``(key, order, allowed)`` of a batch of events, in time order for each key; null is a key of its own.
 
     A key's log holds ``limit`` entries at most.  Rows of a key arrive sorted
     and in pieces, so a key with very many events takes time, not memory.
@@ -40,19 +40,21 @@ def rate_limit(events: DataFrame, key: str = "user_id", time: str = "ts", order:
     import pandas as pd
 
     def run(batches):
-        log, current = [], None
+        log, current = [], ()
         for pdf in batches:
             out = []
-            for k, part in pdf.groupby(key, sort=False):
+            for k, part in pdf.groupby(key, sort=False, dropna=False):
+                k = None if pd.isna(k) else k
                 if k != current:
                     log, current = [], k
                 ok, log = admit(part["_t"].tolist(), log, limit, window)
                 out.append(pd.DataFrame({key: part[key], order: part[order], "allowed": ok}))
             yield pd.concat(out) if out else pd.DataFrame({key: [], order: [], "allowed": []})
 
-    t = events.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("_t"))
+    # text keeps pandas from turning keys beside a null into floats
+    t = events.select(F.col(key).cast("long").cast("string").alias(key), F.col(order).cast("long").alias(order), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("_t"))
     t = t.repartition(key).sortWithinPartitions(key, "_t", order)
-    return t.mapInPandas(run, f"{key} long, {order} long, allowed boolean")
+    return t.mapInPandas(run, f"{key} string, {order} long, allowed boolean").withColumn(key, F.col(key).cast("long"))
 
 
 def rate_limit_stream(events: DataFrame, key: str = "user_id", time: str = "ts", order: str = "event_id", limit: int = 120, window: float = 60.0) -> DataFrame:

@@ -106,3 +106,10 @@ def test_limiter_is_a_fold(spark):
         mine = sorted((t, i) for i, k, t in rows if k == u)
         want, _ = limiter.admit([t for t, _ in mine], [], 3, 20.0)
         assert [got[i] for _, i in mine] == want
+
+
+def test_limiter_takes_null_for_a_key(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(i, k, i) for i, k in enumerate([None, big, None, big, None, big - 1])], "event_id long, user_id long, t long").withColumn("ts", F.timestamp_micros(F.col("t") * 1_000_000))
+    got = {r.event_id: (r.user_id, r.allowed) for r in limiter.rate_limit(df.coalesce(1), limit=2, window=20.0).collect()}
+    assert got == {0: (None, True), 1: (big, True), 2: (None, True), 3: (big, True), 4: (None, False), 5: (big - 1, True)}
