@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame, name: str = "cc") -> DataFrame:
@@ -21,6 +21,7 @@ def connected_components(links: DataFrame, name: str = "cc") -> DataFrame:
     cur = materialize(links.select(lo, hi).filter("lo < hi").distinct(), f"{name}-links")
     labels = None
     while not cur.isEmpty():
+        old = [cur] if labels is None else [cur, labels]
         hook = materialize(cur.groupBy("hi").agg(F.min("lo").alias("up")), f"{name}-hook")
 
         def through(df: DataFrame, column: str, hook: DataFrame = hook) -> DataFrame:
@@ -28,13 +29,16 @@ def connected_components(links: DataFrame, name: str = "cc") -> DataFrame:
             to = hook.select(F.col("hi").alias("_n"), F.col("up").alias("_u"))
             return df.join(to, F.col(column) == F.col("_n"), "left").withColumn(column, F.coalesce("_u", column)).drop("_n", "_u")
 
+        old.append(hook)
         hook = materialize(through(through(hook, "up"), "up"), f"{name}-jump")
+        old.append(hook)
         nodes = cur.select(F.explode(F.array("lo", "hi")).alias("node")).distinct()
         if labels is None:
             labels = nodes.withColumn("component", F.col("node"))
         labels = materialize(through(labels, "component", hook), f"{name}-labels")
         both = through(through(cur, "lo", hook), "hi", hook)
         cur = materialize(both.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).filter("lo < hi").distinct(), f"{name}-links")
+        discard(*old)
     if labels is None:
         labels = cur.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     return labels

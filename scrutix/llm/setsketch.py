@@ -10,9 +10,9 @@
 4. Pairs are estimated jointly by likelihood from both sketches and the known
    set sizes; those that may reach the threshold are confirmed on full sets.
 5. Confirmed links are contracted to components.  Only buckets that still hold
-   several components need more: ``ROUNDS`` times their members meet another
-   hub of another component; what is open then is compared exactly, tile by
-   tile, and only links that join components leave a task.
+   several components need more: their nodes outside the bucket's largest
+   component are compared with all of its nodes, tile by tile, and only links
+   that join components leave a task.
 
 At a similarity of 0.8 a pair escapes all 64 bands with probability 8e-6 (less
 above it); links inside a component that others connect need not be found.
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize
+from .common import arrow_rows, discard, materialize
 from .graph import connected_components
 
 BASE = 1.1
@@ -41,8 +41,9 @@ ROWS = 8
 BANDS = 64
 REGISTERS = ROWS * BANDS
 MARGIN = 0.1
-ROUNDS = 2
-TILE = 256
+TILE = 512
+TILE_BYTES = 4 << 20
+GROUP = 1 << 16
 BITMAP_BITS = 1 << 23
 
 _rng = np.random.default_rng(20240611)
@@ -239,22 +240,28 @@ def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(key, node, c, size)`` of buckets of three or more that hold several components."""
+    """``(key, node, c, big)`` of buckets of three or more that hold several components.
+
+    ``big`` is the component with most members there, so every pair across
+    components has a member outside ``big``.
+    """
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    per = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("size > 2 AND c0 < c1").select("key", "size")
-    return labelled.join(per, "key")
+    # a row for each component of a bucket, then one for each bucket
+    per = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
+    per = per.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("comps"), F.max(F.struct("n", "c")).alias("top")).filter("size > 2 AND comps > 1")
+    return labelled.join(per.select("key", F.col("top.c").alias("big")), "key")
 
 
-def _restarred(rest: DataFrame, turn: int) -> DataFrame:
-    """Pairs of every open bucket's members outside a new hub's component with that hub.
+def _groups(rest: DataFrame) -> DataFrame:
+    """``(g, big, node, c)``: a node once for each group that it is compared in.
 
-    The hub is another member in each bucket and turn, so a node meets up to
-    ``BANDS`` members of its group; the pairs stay linear in the rows.
+    Open buckets with the same largest component are one group, as a cluster's
+    buckets hold much the same nodes.  Where that makes more than
+    ``GROUP`` nodes, each bucket stays a group of its own.
     """
-    order = F.xxhash64(F.lit(turn), "key", "node")
-    hub = rest.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "c")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.c").alias("hc"))
-    outside = rest.join(hub, "key").filter("c <> hc")
-    return outside.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    large = rest.select("big", "node").distinct().groupBy("big").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("big", F.lit(True).alias("large"))
+    g = F.when(F.col("large"), F.concat(F.lit("k"), "key")).otherwise(F.concat(F.lit("c"), "big"))
+    return rest.join(large, "big", "left").select(g.alias("g"), "big", "node", "c").distinct()
 
 
 def _packed(batches):
@@ -268,7 +275,7 @@ def _packed(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(table)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(n, 1), b.column(1).slice(n, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["key", "part", "rows"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(n, 1), b.column(1).slice(n, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["g", "part", "rows"])
 
 
 def _unpacked(blob: bytes) -> list[dict]:
@@ -278,27 +285,42 @@ def _unpacked(blob: bytes) -> list[dict]:
         return r.read_all().to_pylist()
 
 
+def _tiles(rows: DataFrame, parts: str) -> DataFrame:
+    """``(g, part, rows)``: the rows of each group in tiles, by hash of the node."""
+    part = F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    grouped = rows.groupBy("g", part.alias("part")).agg(F.collect_list(F.struct("node", "c", "outside", "n_shingles", "regs", "cls", "text")).alias("rows"))
+    return grouped.mapInArrow(_packed, "g string, part int, rows binary")
+
+
 def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` that join components of the buckets still open.
+    """Links ``(a, b)`` between components of the buckets still open.
 
-    Buckets are cut into tiles of about ``TILE`` members.  A pair of tiles is
-    estimated row by row in numpy; likely pairs across components (each in the
-    first band that the two share) are confirmed on full sets in the same
-    task, and only links that join two of its components leave it.
+    A group's nodes outside its largest component are compared with all of its
+    nodes, in tiles of about ``TILE`` nodes or ``TILE_BYTES`` of text.  A pair
+    that shares a band is estimated in numpy; what is likely is confirmed on
+    full sets in the same task, and only links that join two of the task's
+    components leave it.
     """
     import pyarrow as pa
 
-    texts = texts_of(documents, rest.select(F.col("node").alias("id")).distinct())
-    rows = rest.join(reps, "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE)).cast("int"))
-    grouped = rows.groupBy("key", "part").agg(F.collect_list(F.struct("node", "c", "n_shingles", "regs", "cls", "text")).alias("rows"))
-    tiles = materialize(grouped.mapInArrow(_packed, "key long, part int, rows binary"), "near-tiles")
-    pairs = tiles.join(tiles.select("key", F.col("part").alias("part_y"), F.col("rows").alias("rows_y")), "key").filter("part <= part_y")
-
-    def links(key, x, y, alone):
-        regs = np.frombuffer(b"".join(m["regs"] for m in y), np.uint8).reshape(len(y), REGISTERS)
+    nodes = materialize(_groups(rest), "near-groups")
+    texts = texts_of(documents, nodes.select(F.col("node").alias("id")).distinct())
+    rows = nodes.join(reps, "node").join(texts.withColumnRenamed("doc_id", "node"), "node").withColumn("outside", F.col("c") != F.col("big"))
+    rows = materialize(rows.withColumn("bytes", F.octet_length("text")), "near-open")
+    tiles_for = lambda x: F.greatest(F.ceil(F.sum(x) / TILE), F.ceil(F.sum(x * F.col("bytes")) / TILE_BYTES)).cast("int")
+    counts = rows.groupBy("g").agg(tiles_for(F.col("outside").cast("int")).alias("nx"), tiles_for(F.lit(1)).alias("ny")).filter("nx > 0")
+    dealt = rows.join(counts, "g")
+    x = _tiles(dealt.filter("outside"), "nx").withColumnsRenamed({"part": "px", "rows": "rows_x"})
+    y = _tiles(dealt, "ny").withColumnsRenamed({"part": "py", "rows": "rows_y"})
+    # a tile meets the others of its group one task each
+    pairs = counts.select("g", "ny", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("px"))
+    pairs = pairs.select("g", "px", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("py"))
+    met = pairs.join(x, ["g", "px"]).join(y, ["g", "py"])
+
+    def links(xs, ys):
+        regs = np.frombuffer(b"".join(m["regs"] for m in ys), np.uint8).reshape(len(ys), REGISTERS)
         bands_y = regs.view("<u8")
-        ids, comps, sizes = (np.array([m[c] for m in y]) for c in ("node", "c", "n_shingles"))
+        ids, comps, sizes, outside = (np.array([m[c] for m in ys]) for c in ("node", "c", "n_shingles", "outside"))
         joined: dict = {}  # components that links of this task have joined
         sets: dict = {}
 
@@ -316,35 +338,35 @@ def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, perce
                 sets[m["cls"]] = shingle_set(words, k)
             return sets[m["cls"]]
 
-        for m in x:
-            pick = (comps != m["c"]) & (100 * np.minimum(sizes, m["n_shingles"]) >= percent * np.maximum(sizes, m["n_shingles"]))
-            at = np.flatnonzero(pick & (ids > m["node"]) if alone else pick)
+        for m in xs:
+            n = m["n_shingles"]
+            # two nodes outside the largest component meet from one side only
+            at = np.flatnonzero((comps != m["c"]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & ~(outside & (ids < m["node"])))
+            own = np.frombuffer(m["regs"], np.uint8)
+            at = at[(bands_y[at] == own.view("<u8")).any(axis=1)]
             if not len(at):
                 continue
-            own, other = np.frombuffer(m["regs"], np.uint8), regs[at]
-            j = estimate((own > other).sum(axis=1), (own < other).sum(axis=1), np.full(len(at), float(m["n_shingles"])), sizes[at].astype(float))
-            at = at[j >= percent / 100 - MARGIN]
-            first = (bands_y[at] == own.view("<u8")).argmax(axis=1)
-            for i in at[band_keys(m["regs"])[first] == key]:
-                a, b = root(m["c"]), root(y[i]["c"])
+            other = regs[at]
+            j = estimate((own > other).sum(axis=1), (own < other).sum(axis=1), np.full(len(at), float(n)), sizes[at].astype(float))
+            for i in at[j >= percent / 100 - MARGIN]:
+                a, b = root(m["c"]), root(ys[i]["c"])
                 if a == b:
                     continue
-                p, q = members(m), members(y[i])
+                p, q = members(m), members(ys[i])
                 if p and q:
                     both = len(p & q)
                     if 100 * both >= percent * (len(p) + len(q) - both):
                         joined[max(a, b)] = min(a, b)
-                        yield m["node"], y[i]["node"]
+                        yield m["c"], ys[i]["c"]
 
     def run(batches):
         for batch in batches:
             for n in range(batch.num_rows):
-                r = batch.slice(n, 1).to_pylist()[0]
-                out = list(links(r["key"], _unpacked(r["rows"]), _unpacked(r["rows_y"]), r["part"] == r["part_y"]))
+                out = list(links(_unpacked(batch.column(0)[n].as_py()), _unpacked(batch.column(1)[n].as_py())))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return pairs.select("key", "part", "part_y", "rows", "rows_y").mapInArrow(run, "a long, b long")
+    return materialize(met.select("rows_x", "rows_y").mapInArrow(run, "a long, b long"), "near-across")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -357,21 +379,18 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub < _last").drop("_last")
     members = materialize(keyed.join(shared, "key"), "near-members")
     star = materialize(members.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-star")
-    links = materialize(confirm(materialize(likely(star, reps, percent), "near-likely"), documents, k, percent), "near-links")
+    maybe = materialize(likely(star, reps, percent), "near-likely")
+    links = materialize(confirm(maybe, documents, k, percent), "near-links")
     labels = connected_components(links)
-
-    for turn in range(ROUNDS + 1):
-        rest = materialize(_open_buckets(members, labels), "near-rest")
-        if rest.isEmpty():
-            break
-        if turn < ROUNDS:
-            found = confirm(materialize(likely(_restarred(rest, turn), reps, percent), "near-likely"), documents, k, percent)
-        else:
-            found = across(rest, reps, documents, k, percent)
-        links = materialize(links.unionByName(found), "near-links")
-        labels = connected_components(links)
-
-    node = reps.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("component", "node").alias("_c"))
+    discard(star, maybe, links)
+
+    # components that open buckets join; the links that made them need not be met again
+    rest = materialize(_open_buckets(members, labels), "near-rest")
+    discard(members)
+    joins = connected_components(across(rest, reps, documents, k, percent))
+    discard(rest)
+    label = reps.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("component", "node").alias("_c"))
+    node = label.join(joins.select(F.col("node").alias("_c"), F.col("component").alias("_top")), "_c", "left").select("cls", F.coalesce("_top", "_c").alias("_c"))
     out = all_rows.select("doc_id", "cls", "n_shingles").join(node, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -230,8 +230,9 @@ def test_near_duplicates_against_brute_force(spark, k):
         assert (row.n_shingles, row.component_id, row.kept) == (sizes[row.doc_id], comp[row.doc_id], comp[row.doc_id] == row.doc_id)
 
 
-def test_open_buckets_are_compared_exactly(spark):
-    """A group of near copies around the threshold, with small tiles and no second star."""
+@pytest.mark.parametrize("group", [1, 1 << 16])
+def test_open_buckets_are_compared_exactly(spark, group):
+    """A group of near copies around the threshold in small tiles, grouped by component and by bucket."""
     r = random.Random(11)
     base = [f"w{i}" for i in range(150)]
     texts = []
@@ -241,12 +242,12 @@ def test_open_buckets_are_compared_exactly(spark):
             w[r.randrange(len(w))] = f"n{r.randrange(400)}"
         texts.append(" ".join(w))
     _, comp = brute_near(texts, 2, 80)
-    old = setsketch.TILE, setsketch.ROUNDS
-    setsketch.TILE, setsketch.ROUNDS = 16, 0
+    old = setsketch.TILE, setsketch.GROUP
+    setsketch.TILE, setsketch.GROUP = 16, group
     try:
         got = {x.doc_id: x.component_id for x in setsketch.near_duplicates(docs(spark, texts), 2, 80).collect()}
     finally:
-        setsketch.TILE, setsketch.ROUNDS = old
+        setsketch.TILE, setsketch.GROUP = old
     assert [got[i] for i in range(len(texts))] == comp
 
 
