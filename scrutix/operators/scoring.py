@@ -105,16 +105,13 @@ def dimensions(signals: Column) -> Column:
         "specificity": F.greatest(F.lit(0.0), 0.20 - F.least(F.round("specificity_ratio", 3), F.lit(0.20))),
         "originality": F.least(F.round("repetition_density", 3) * 1.2, F.lit(0.35)),
     }
-    out = []
-    for name in L.DIMENSIONS:
-        raw = F.aggregate(F.filter(signals, _in(name)), base.get(name, F.lit(0.0)).cast("double"), lambda a, s: a + s["weight"] * activation(s["count"]))
-        status = F.when(raw >= 0.45, "elevated").when(raw >= 0.18, "review").otherwise("clean")
-        out.append(F.struct(F.lit(name).alias("name"), F.round(F.least(raw, F.lit(1.0)), 3).alias("score"), status.alias("status")))
-    return F.array(*out)
-
-
-def _in(category: str):
-    return lambda s: s["category"] == category
+    names = F.array(*map(F.lit, L.DIMENSIONS))
+    bases = F.array(*(base.get(name, F.lit(0.0)).cast("double") for name in L.DIMENSIONS))
+    # one pass over the signals for all categories
+    add = lambda s: lambda x, name: F.when(s["category"] == name, x + s["weight"] * activation(s["count"])).otherwise(x)
+    sums = F.aggregate(signals, bases, lambda a, s: F.zip_with(a, names, add(s)))
+    status = lambda x: F.when(x >= 0.45, "elevated").when(x >= 0.18, "review").otherwise("clean")
+    return F.zip_with(names, sums, lambda name, x: F.struct(name.alias("name"), F.round(F.least(x, F.lit(1.0)), 3).alias("score"), status(x).alias("status")))
 
 
 def recommendation(risk: Column, dims: Column) -> Column:
@@ -132,14 +129,19 @@ def sample_quality(words: Column) -> Column:
 def score_text(df: DataFrame, text_col: str = "text", profile_col: str | None = None, weights: dict | None = None, unicode_forms: bool = True) -> DataFrame:
     """``df`` with metrics, signals, score, risk, dimensions and recommendation.
 
-    One projection without a shuffle; Spark prunes what isn't selected.
-    ``weights`` switches to the learned score.
+    One narrow pass without a shuffle.  ``weights`` switches to the learned
+    score.  Texts, statistics and signals are sealed, so filters on results
+    stay above them; dimensions and advice are pruned unless selected.
     """
-    kept = [c for c in df.columns]
-    out = with_signals(T.with_metrics(T.with_text(df, text_col, unicode_forms)), profile_col)
+    made = {*T.METRICS, "signals", "score_raw", "score", "risk", "dimensions", "sample_quality", "algorithm", "recommendation"}
+    kept = [c for c in df.columns if c not in made]
+    # input columns travel in a struct: their names can't meet the engine's
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"), (F.col(f"`{profile_col}`") if profile_col else F.lit("general")).alias("_profile"))
+    out = T.sealed(T.with_metrics(T.with_text(rows, "_text", unicode_forms, seal=True)), T.METRICS)
+    out = with_signals(out, "_profile")
     raw = learned_score(F.col("signals"), F.col("word_count"), weights) if weights else rule_score(F.col("signals"), F.col("word_count"))
-    out = out.withColumn("score_raw", raw).withColumn("score", F.round("score_raw", 3))
+    out = T.sealed(out, ["signals"]).withColumn("score_raw", raw).withColumn("score", F.round("score_raw", 3))
+    out = T.sealed(out, ["score_raw", "score"])
     out = out.withColumns({"risk": risk_band(F.col("score")), "dimensions": dimensions(F.col("signals")), "sample_quality": sample_quality(F.col("word_count")), "algorithm": F.lit(VERSION + ("+learned" if weights else ""))})
     out = out.withColumn("recommendation", recommendation(F.col("risk"), F.col("dimensions")))
-    hidden = [c for c in out.columns if c.startswith("_") and c not in kept]
-    return out.drop(*hidden)
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), *T.METRICS, "signals", "score_raw", "score", "risk", "dimensions", "sample_quality", "algorithm", "recommendation")

@@ -218,16 +218,16 @@ def text_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_dimensions(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).select("doc_id", F.explode("dimensions").alias("x")).select("doc_id", F.col("x.name").alias("dimension"), F.col("x.score").alias("score"), F.col("x.status").alias("status"))
+    return scored(spark, d).select("doc_id", F.explode_outer("dimensions").alias("x")).select("doc_id", F.col("x.name").alias("dimension"), F.col("x.score").alias("score"), F.col("x.status").alias("status"))
 
 
 def signal_rows(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).select("doc_id", F.explode("signals").alias("s")).groupBy("s.name").agg(F.count("*").alias("docs"), F.sum("s.count").alias("hits")).select("name", "docs", "hits")
+    return scored(spark, d).select("doc_id", F.explode_outer("signals").alias("s")).filter("s IS NOT NULL").groupBy("s.name").agg(F.count("*").alias("docs"), F.sum("s.count").alias("hits")).select("name", "docs", "hits")
 
 
 def profile_compare(spark: SparkSession, d: str) -> DataFrame:
     """Every document under each profile: one pass over tokens, five scores."""
-    m = T.with_metrics(T.with_text(documents_of(spark, d)))
+    m = T.sealed(T.with_metrics(T.with_text(documents_of(spark, d), seal=True)), T.METRICS)
     m = m.withColumn("profile", F.explode(F.array(*map(F.lit, L.PROFILES))))
     out = scoring.with_signals(m, "profile")
     return out.select("profile", scoring.rule_score(F.col("signals"), F.col("word_count")).alias("s")).groupBy("profile").agg(F.count("*").alias("docs"), F.round(F.avg("s"), 4).alias("mean_score"), F.round(F.max("s"), 6).alias("max_score"))
