@@ -1,13 +1,15 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Unit vectors are rotated by principal axes (fitted on a bounded sample; any
-rotation gives the same cosines).  Two vectors with cosine t are within
+Vectors keep their own components (scaled by a power of two, which is exact);
+inside tasks unit vectors are rotated by principal axes (fitted on a bounded
+sample; any rotation gives the same cosines).  Two vectors with cosine t are within
 ``sqrt(2 - 2t)``, so only cells of a grid of that width over the leading axes,
 and its neighbours, can hold links.  Cells are cut into tiles of about
 ``TILE`` vectors; a pair of tiles whose boxes are too far apart is skipped.
 Inside a pair of tiles leading dimensions are multiplied first, the rest is
 bounded by suffix norms (Cauchy-Schwarz), and rows and columns that cannot
-reach the threshold drop out before more dimensions are added.
+reach the threshold drop out before more dimensions are added.  Pairs within
+``SLACK`` of the threshold are decided on the unrotated components.
 
 A tile pair returns a row for each vector that has links (a count and its
 smallest neighbour in the pair's own components), never the pairs, so a large
@@ -17,7 +19,8 @@ into one class before anything is compared.
 Defined results: a null label, a null vector, a zero vector or one with null
 or non-finite components links with nothing; vectors of different lengths
 don't link; a null vec_id has a null component and no links; repeated vec_ids
-are one node; extra columns are ignored.
+are one node; labels of any type are compared as text; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +45,8 @@ BOX = 16
 SLACK = 1e-9
 
 
-def _unit_rows(batch) -> list[tuple]:
-    """``(vec_id, label, dims, class, unit float64)`` of the valid rows of an Arrow batch."""
+def _valid_rows(batch) -> list[tuple]:
+    """``(vec_id, label, dims, class, components)`` of the valid rows of an Arrow batch."""
     col = lambda c: batch.column(batch.schema.get_field_index(c))
     out = []
     for vec_id, label, x in zip(col("vec_id"), col("label"), col("embedding")):
@@ -56,78 +59,91 @@ def _unit_rows(batch) -> list[tuple]:
         top = np.abs(v).max()
         if not np.isfinite(top) or top == 0:
             continue
-        v = v / top  # no overflow or underflow in the norm
-        v /= math.sqrt(float(v @ v))
-        out.append((vec_id.as_py(), label.as_py(), len(v), hashlib.blake2b(v.tobytes(), digest_size=16).digest(), v))
+        v = np.ldexp(v, -int(np.frexp(top)[1])) + 0.0  # no overflow or underflow in the norm, no negative zeros
+        u = _units(v[None])[0]
+        out.append((vec_id.as_py(), label.as_py(), len(v), hashlib.blake2b(u.tobytes(), digest_size=16).digest(), v))
     return out
 
 
-def unit_vectors(embeddings: DataFrame) -> DataFrame:
-    """``(vec_id, label, dims, cls, unit)`` of the vectors that may link."""
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows over their norms."""
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def vectors_of(embeddings: DataFrame) -> DataFrame:
+    """``(vec_id, label, dims, cls, x)`` of the vectors that may link."""
     import pyarrow as pa
 
-    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("dims", pa.int32()), ("cls", pa.binary()), ("unit", pa.binary())])
+    schema = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("dims", pa.int32()), ("cls", pa.binary()), ("x", pa.binary())])
 
     def run(batches):
         for b in batches:
-            rows = [(i, g, n, c, v.tobytes()) for i, g, n, c, v in _unit_rows(b)]
+            rows = [(i, g, n, c, v.tobytes()) for i, g, n, c, v in _valid_rows(b)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    source = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
-    return source.mapInArrow(run, "vec_id long, label long, dims int, cls binary, unit binary")
+    source = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
+    return source.mapInArrow(run, "vec_id long, label string, dims int, cls binary, x binary")
 
 
 def principal_axes(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     """For each length, orthogonal axes in falling order of variance, from a bounded sample."""
-    rows = vectors.select("dims", "unit").orderBy(F.xxhash64("cls"), "vec_id").limit(sample).collect()
+    rows = vectors.select("dims", "x").orderBy(F.xxhash64("cls"), "vec_id").limit(sample).collect()
     axes = {}
     for dims in {r.dims for r in rows}:
-        x = np.stack([np.frombuffer(r.unit) for r in rows if r.dims == dims])
+        x = _units(np.stack([np.frombuffer(r.x) for r in rows if r.dims == dims]))
         values, v = np.linalg.eigh(x.T @ x - len(x) * np.outer(x.mean(axis=0), x.mean(axis=0)))
         axes[dims] = np.ascontiguousarray(v[:, np.argsort(-values, kind="stable")])
     return axes
 
 
-def rotated(classes: DataFrame, axes: dict[int, np.ndarray], width: float) -> DataFrame:
-    """``(node, weight, label, dims, cell, y)``: rotated vectors and their grid cells."""
+def rotated(x: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    """Unit rows on the principal axes (on their own where the sample had none of their length)."""
+    u = _units(x)
+    return u @ axes[x.shape[1]] if x.shape[1] in axes else u
+
+
+def with_cells(classes: DataFrame, axes: dict[int, np.ndarray], width: float) -> DataFrame:
+    """``(node, weight, label, dims, cell, x)``: vectors and their grid cells."""
     import pyarrow as pa
 
-    schema = pa.schema([("node", pa.int64()), ("weight", pa.int64()), ("label", pa.int64()), ("dims", pa.int32()), ("cell", pa.list_(pa.int32())), ("y", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("weight", pa.int64()), ("label", pa.string()), ("dims", pa.int32()), ("cell", pa.list_(pa.int32())), ("x", pa.binary())])
 
     def run(batches):
         for b in batches:
             col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
-            ys, cells = [], []
-            for unit, dims in zip(col("unit").to_pylist(), col("dims").to_pylist()):
-                x = np.frombuffer(unit)
-                y = x @ axes[dims] if dims in axes else x
-                ys.append(y.tobytes())
-                cells.append([*np.floor(y[:AXES] / width).astype(int).tolist(), 0, 0, 0][:AXES])
-            yield pa.RecordBatch.from_arrays([col("node"), col("weight"), col("label"), col("dims"), pa.array(cells, pa.list_(pa.int32())), pa.array(ys, pa.binary())], schema=schema)
+            lead = [rotated(np.frombuffer(x)[None], axes)[0, :AXES] for x in col("x").to_pylist()]
+            cells = [[*np.floor(y / width).astype(int).tolist(), 0, 0, 0][:AXES] for y in lead]
+            yield pa.RecordBatch.from_arrays([col("node"), col("weight"), col("label"), col("dims"), pa.array(cells, pa.list_(pa.int32())), col("x")], schema=schema)
 
-    return classes.select("node", "weight", "label", "dims", "unit").mapInArrow(run, "node long, weight long, label long, dims int, cell array<int>, y binary")
+    return classes.select("node", "weight", "label", "dims", "x").mapInArrow(run, "node long, weight long, label string, dims int, cell array<int>, x binary")
 
 
-def tiles(points: DataFrame) -> DataFrame:
-    """``(label, dims, cell, tile, nodes, weights, matrix, lo, hi)`` of about ``TILE`` vectors each."""
+def tiles(points: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+    """``(label, dims, cell, tile, nodes, weights, matrix, lo, hi)`` of about ``TILE`` vectors each.
+
+    A cell's vectors meet its count in a join that Spark may split, and are
+    grouped by the tile alone, so a hot cell is spread over its tiles.
+    """
     import pyarrow as pa
 
     key = ["label", "dims", "cell"]
     counts = points.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    parts = points.join(counts, key).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    packed = parts.groupBy(*key, "part").agg(F.collect_list(F.struct("node", "weight", "y")).alias("rows"))
-    schema = pa.schema([("label", pa.int64()), ("dims", pa.int32()), ("cell", pa.list_(pa.int32())), ("part", pa.int32()), ("nodes", pa.binary()), ("weights", pa.binary()), ("matrix", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    parts = points.join(counts, key).withColumn("tile", F.concat_ws(":", "dims", F.array_join(F.col("cell").cast("array<string>"), ","), part, "label"))
+    packed = parts.groupBy("tile").agg(*(F.first(c).alias(c) for c in key), F.collect_list(F.struct("node", "weight", "x")).alias("rows"))
+    schema = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("cell", pa.list_(pa.int32())), ("tile", pa.string()), ("nodes", pa.binary()), ("weights", pa.binary()), ("matrix", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 rows = sorted(r["rows"], key=lambda x: x["node"])
-                m = np.frombuffer(b"".join(x["y"] for x in rows)).reshape(len(rows), -1)
-                values = (r["label"], r["dims"], r["cell"], r["part"], np.array([x["node"] for x in rows], np.int64).tobytes(), np.array([x["weight"] for x in rows], np.int64).tobytes(), m.tobytes(), m[:, :BOX].min(axis=0).tolist(), m[:, :BOX].max(axis=0).tolist())
+                m = np.frombuffer(b"".join(x["x"] for x in rows)).reshape(len(rows), -1)
+                box = rotated(m, axes)[:, :BOX]
+                values = (r["label"], r["dims"], r["cell"], r["tile"], np.array([x["node"] for x in rows], np.int64).tobytes(), np.array([x["weight"] for x in rows], np.int64).tobytes(), m.tobytes(), box.min(axis=0).tolist(), box.max(axis=0).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
-    return packed.mapInArrow(run, "label long, dims int, cell array<int>, part int, nodes binary, weights binary, matrix binary, lo array<double>, hi array<double>").withColumn("tile", F.concat_ws(":", "label", "dims", F.array_join(F.col("cell").cast("array<string>"), ","), "part"))
+    return packed.select(*key, "tile", "rows").mapInArrow(run, "label string, dims int, cell array<int>, tile string, nodes binary, weights binary, matrix binary, lo array<double>, hi array<double>")
 
 
 def tile_pairs(t: DataFrame, limit: float) -> DataFrame:
@@ -145,10 +161,17 @@ def tile_pairs(t: DataFrame, limit: float) -> DataFrame:
     return near.select("s", "t")
 
 
-def links_of(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _cosine(x: np.ndarray, y: np.ndarray) -> float:
+    """In extended precision."""
+    x, y = x.astype(np.longdouble), y.astype(np.longdouble)
+    return (x @ y) / np.sqrt((x @ x) * (y @ y))
+
+
+def links_of(a: np.ndarray, b: np.ndarray, threshold: float, exact=None) -> tuple[np.ndarray, np.ndarray]:
     """Indices ``(i, j)`` of row pairs with a product of at least ``threshold``.
 
     Leading dimensions first; the rest is bounded by the suffixes' norms.
+    ``exact(i, j)`` gives the cosine that decides pairs within ``SLACK``.
     """
     d = a.shape[1]
     rows, cols = np.arange(len(a)), np.arange(len(b))
@@ -164,8 +187,14 @@ def links_of(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray
                 return np.zeros(0, int), np.zeros(0, int)
             if r.mean() < 0.7 or c.mean() < 0.7:
                 rows, cols, product = rows[r], cols[c], product[np.ix_(r, c)]
-    i, j = np.nonzero(product >= threshold)
-    return rows[i], cols[j]
+    i, j = np.nonzero(product >= threshold - SLACK)
+    near = np.flatnonzero(product[i, j] < threshold + SLACK)
+    i, j = rows[i], cols[j]
+    if not len(near) or exact is None:
+        return i, j
+    keep = np.ones(len(i), bool)
+    keep[near] = [exact(i[k], j[k]) >= threshold for k in near]
+    return i[keep], j[keep]
 
 
 def _roots(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -181,7 +210,7 @@ def _roots(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return low
 
 
-def compare(pairs: DataFrame, t: DataFrame, threshold: float) -> DataFrame:
+def compare(pairs: DataFrame, t: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
     """``(node, links, root)``: for each pair of tiles, its vectors that have links."""
     import pyarrow as pa
 
@@ -197,7 +226,7 @@ def compare(pairs: DataFrame, t: DataFrame, threshold: float) -> DataFrame:
                 a = np.frombuffer(get("matrix_s")).reshape(len(na), -1)
                 nb, wb = np.frombuffer(get("nodes_t"), np.int64), np.frombuffer(get("weights_t"), np.int64)
                 b = np.frombuffer(get("matrix_t")).reshape(len(nb), -1)
-                i, j = links_of(a, b, threshold)
+                i, j = links_of(rotated(a, axes), rotated(b, axes), threshold, lambda p, q: _cosine(a[p], b[q]))  # noqa: B023
                 if alone:
                     i, j = i[i < j], j[i < j]
                 if not len(i):
@@ -215,13 +244,13 @@ def compare(pairs: DataFrame, t: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, a row for every vector."""
     limit = math.sqrt(2 - 2 * threshold)
-    vectors = materialize(unit_vectors(embeddings), "vec-units")
+    vectors = materialize(vectors_of(embeddings), "vec-rows")
     group = ["label", "dims", "cls"]
-    first = F.min(F.struct("vec_id", "unit")).alias("r")
-    classes = materialize(vectors.groupBy(*group).agg(first, F.count("*").alias("weight")).select(*group, F.col("r.vec_id").alias("node"), "weight", F.col("r.unit").alias("unit")), "vec-classes")
+    first = F.min(F.struct("vec_id", "x")).alias("r")
+    classes = materialize(vectors.groupBy(*group).agg(first, F.count("*").alias("weight")).select(*group, F.col("r.vec_id").alias("node"), "weight", F.col("r.x").alias("x")), "vec-classes")
     axes = principal_axes(vectors)
-    t = materialize(tiles(rotated(classes, axes, limit + SLACK)), "vec-tiles")
-    found = materialize(compare(tile_pairs(t, limit), t, threshold), "vec-links")
+    t = materialize(tiles(with_cells(classes, axes, limit + SLACK), axes), "vec-tiles")
+    found = materialize(compare(tile_pairs(t, limit), t, axes, threshold), "vec-links")
     labels = connected_components(found.filter("node > root").select(F.col("node").alias("a"), F.col("root").alias("b")), "vec-cc")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     node = classes.select(*group, "node", "weight").join(counts, "node", "left").join(labels, "node", "left")
