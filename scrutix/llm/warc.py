@@ -15,7 +15,8 @@ Defined results: null html is an empty payload; a null page_id comes after
 all others among equal payloads; equal ids go by archive and position; a
 revisit of the input stays one and refers to its payload's original, or where
 no response holds that payload to what it referred to; an empty table gives no
-archive; extra columns are ignored.
+archive; extra columns are ignored.  A response that becomes a revisit gets a
+new record id; other records keep theirs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .common import arrow_rows, materialize
 
 ARCHIVE_BYTES = 1 << 20
 ARCHIVE_RECORDS = 2048
+FEED = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,10 +48,14 @@ def _clean(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, digest: str, refers: dict | None = None, seed: str = "") -> bytes:
-    """One record as a gzip member; a revisit has an empty block."""
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, payload_bytes: int, digest: str, refers: dict | None = None, ident: str | None = None) -> bytes:
+    """One record as a gzip member; a revisit has an empty block.
+
+    ``ident`` is its id; without one it follows from page and payload.
+    """
     block = b"" if kind == "revisit" else payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'{seed}:{page_id}:{digest}')}>", f"WARC-Date: {DATE}"]
+    ident = ident or f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}:{digest}')}>"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_clean(url)}")
     if page_id is not None:
@@ -66,32 +72,46 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, payl
     return z.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
+def _members(archive: bytes):
+    """The decompressed gzip members of an archive, in one pass over its bytes."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut off")
+            fed = view[at : at + FEED]
+            parts.append(z.decompress(fed))
+            # what a member didn't take is fed to the next one
+            at += len(fed) - len(z.unused_data)
+        yield b"".join(parts)
+
+
 def records(archive: bytes):
     """Yield ``(headers, block)`` of an archive of gzip members."""
-    while archive:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(archive) + z.flush()
-        archive = z.unused_data
-        while raw:
-            head, found, rest = raw.partition(b"\r\n\r\n")
-            if not found or not head.startswith(b"WARC/"):
+    for raw in _members(archive):
+        at = 0
+        while at < len(raw):
+            end = raw.find(b"\r\n\r\n", at)
+            if end < 0 or not raw.startswith(b"WARC/", at):
                 raise ValueError("not a WARC record")
-            headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-            n = int(headers["Content-Length"])
-            block, raw = rest[:n], rest[n + 4 :]
-            if len(block) < n:
+            headers = dict(line.split(": ", 1) for line in raw[at:end].decode().split("\r\n")[1:])
+            n, start = int(headers["Content-Length"]), end + 4
+            if start + n > len(raw):
                 raise ValueError("a WARC record is cut off")
-            yield headers, block
+            yield headers, raw[start : start + n]
+            at = start + n + 4
 
 
 def _archiver(items):
-    """Group record bytes into archives ``(id, n, content)`` of bounded size."""
+    """Group records into archives ``(id, n, content)`` of bounded size; an item makes its record from archive and position."""
     from pyspark import TaskContext
 
     base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
     held: list[bytes] = []
     size = k = 0
-    for item in items:
+    for make in items:
+        item = make(base + k, len(held))
         held.append(item)
         size += len(item)
         if size >= ARCHIVE_BYTES or len(held) >= ARCHIVE_RECORDS:
@@ -102,7 +122,7 @@ def _archiver(items):
 
 
 def _archives(df: DataFrame, columns: list[str], make) -> DataFrame:
-    """Archives from ``make(*row values)``, which yields record bytes."""
+    """Archives from ``make(*row values)``, which yields functions of archive and position that make a record."""
     import pyarrow as pa
 
     def run(batches):
@@ -119,11 +139,15 @@ def _archives(df: DataFrame, columns: list[str], make) -> DataFrame:
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """Archives with a response record for every row of ``pages``."""
+    """Archives with a response record for every row of ``pages``.
+
+    A record's id comes from the run and the record's place in it, so no two share one.
+    """
+    run = uuid.uuid4().hex
 
     def make(page_id, url, html):
         payload = (html or "").encode("utf-8", "surrogatepass")
-        yield record("response", page_id, url, payload, len(payload), digest_of(payload), seed="raw")
+        yield lambda archive, pos: record("response", page_id, url, payload, len(payload), digest_of(payload), ident=f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{run}:{archive}:{pos}')}>")
 
     return _archives(pages, ["page_id", "url", "html"], make)
 
@@ -170,14 +194,14 @@ def deduplicate(archives: DataFrame, min_bytes: int = 0) -> DataFrame:
         for pos, (head, block) in enumerate(records(content)):
             page_id = int(head["Page-ID"]) if "Page-ID" in head else None
             digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-            kind, to = head["WARC-Type"], refers[pos]
-            if to:
-                old = to["page_id"]
-                to = {"page_id": old, "record_id": f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'dedup:{old}:{digest}')}>"}
-                kind = "revisit"
-            elif kind == "revisit" and "WARC-Refers-To" in head:
+            kind, to, ident = head["WARC-Type"], refers[pos], head["WARC-Record-ID"]
+            if to and kind == "response":
+                # another record from now on; an original keeps its id
+                kind, ident = "revisit", f"<urn:uuid:{uuid.uuid5(NAMESPACE, ident)}>"
+            elif not to and kind == "revisit" and "WARC-Refers-To" in head:
                 to = {"page_id": int(head["Refers-To-Page-ID"]) if "Refers-To-Page-ID" in head else None, "record_id": head["WARC-Refers-To"]}
-            yield record(kind, page_id, head.get("WARC-Target-URI"), block, int(head["Payload-Length"]), digest, to, seed="dedup")
+            made = record(kind, page_id, head.get("WARC-Target-URI"), block, int(head["Payload-Length"]), digest, to, ident)
+            yield lambda archive, pos, made=made: made
 
     return _archives(archives.join(decisions, "archive"), ["content", "decisions"], make)
 
