@@ -43,7 +43,7 @@ REGISTERS = ROWS * BANDS
 MARGIN = 0.1
 TILE = 512
 TILE_BYTES = 4 << 20
-GROUP = 1 << 16
+GROUP = 1 << 18
 BITMAP_BITS = 1 << 23
 
 _rng = np.random.default_rng(20240611)
@@ -256,10 +256,10 @@ def _groups(rest: DataFrame) -> DataFrame:
     """``(g, big, node, c)``: a node once for each group that it is compared in.
 
     Open buckets with the same largest component are one group, as a cluster's
-    buckets hold much the same nodes.  Where that makes more than
-    ``GROUP`` nodes, each bucket stays a group of its own.
+    buckets hold much the same nodes.  Where that takes more than
+    ``GROUP`` rows, each bucket stays a group of its own.
     """
-    large = rest.select("big", "node").distinct().groupBy("big").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("big", F.lit(True).alias("large"))
+    large = rest.groupBy("big").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("big", F.lit(True).alias("large"))
     g = F.when(F.col("large"), F.concat(F.lit("k"), "key")).otherwise(F.concat(F.lit("c"), "big"))
     return rest.join(large, "big", "left").select(g.alias("g"), "big", "node", "c").distinct()
 
