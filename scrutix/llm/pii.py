@@ -314,11 +314,24 @@ def _selected(name: str, trees: Boosted):
     return keep
 
 
+def _whole(columns) -> Column:
+    """The input's columns as one struct, so their names can't meet the operator's."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")
+
+
+def _fields(columns) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in columns]
+
+
 def find_spans(documents: DataFrame, text_col: str = "text", trees: Boosted | None = None) -> DataFrame:
-    """``documents`` with ``base_<kind>`` and ``added_<kind>``: arrays of (start, end)."""
+    """``documents`` with ``base_<kind>`` and ``added_<kind>``: arrays of (start, end).
+
+    Input columns of these names are replaced; all others are kept.
+    """
     trees = trees or model()
-    kept = documents.columns
-    df = documents.withColumn("_text", F.coalesce(text_col, F.lit("")))
+    made = [f"base_{k}" for k in BASE] + [f"added_{k}" for k in KINDS]
+    kept = [c for c in documents.columns if c not in made]
+    df = documents.select(_whole(kept), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     for kind, pattern in BASE.items():
         df = _matches(df, "_text", f"_b_{kind}", pattern, GUARD[kind])
     for name, (_, pattern, guard) in GENERATORS.items():
@@ -326,7 +339,7 @@ def find_spans(documents: DataFrame, text_col: str = "text", trees: Boosted | No
         df = df.withColumnsRenamed({f"_{name}_m": f"{name}_m", f"_{name}_g": f"{name}_g"})
     out = {f"base_{kind}": _spans(f"_b_{kind}", _valid_match(kind)) for kind in BASE}
     raw = {name: _spans(name, _selected(name, trees)) for name in GENERATORS}
-    df = df.select(*kept, *(c.alias(n) for n, c in out.items()), *(c.alias(f"_a_{n}") for n, c in raw.items()))
+    df = df.select("_row", *(c.alias(n) for n, c in out.items()), *(c.alias(f"_a_{n}") for n, c in raw.items()))
     none = F.array().cast("array<struct<start:long,end:long>>")
     added = {}
     for kind in KINDS:
@@ -334,7 +347,7 @@ def find_spans(documents: DataFrame, text_col: str = "text", trees: Boosted | No
         both = F.concat(*parts) if parts else none
         base = F.col(f"base_{kind}") if kind in BASE else none
         added[f"added_{kind}"] = F.array_except(both, base)
-    return df.select(*kept, *(f"base_{k}" for k in BASE), *(c.alias(n) for n, c in added.items()))
+    return df.select(*_fields(kept), *(f"base_{k}" for k in BASE), *(c.alias(n) for n, c in added.items()))
 
 
 def _joined(parts: list[tuple[str, Column]]) -> Column:
@@ -361,7 +374,7 @@ def redact(documents: DataFrame, text_col: str = "text", trees: Boosted | None =
     """
     trees = trees or model()
     kept = documents.columns
-    df = documents.withColumn("_r", F.coalesce(text_col, F.lit("")))
+    df = documents.select(_whole(kept), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_r"))
     steps = [(k, f"b_{k}", p, GUARD[k], None) for k, p in BASE.items()] + [(v[0], n, v[1], v[2], n) for n, v in GENERATORS.items()]
     # secrets first: their values may hold digits; then base kinds, then the rest
     steps.sort(key=lambda s: (s[1] != "secret", s[4] is not None))
@@ -369,8 +382,8 @@ def redact(documents: DataFrame, text_col: str = "text", trees: Boosted | None =
         df = _matches(df, "_r", name, pattern, guard)
         keep = _selected(generator, trees) if generator else _valid_match(kind)
         df = df.withColumn("_r", _replaced(name, keep, F.lit(f"[{kind.upper()}]"))).drop(f"{name}_m", f"{name}_g")
-    text = F.when(F.col(text_col).isNotNull(), F.col("_r"))
-    return df.withColumn(text_col, text).select(*kept)
+    text = F.when(F.col("_row").getField(text_col).isNotNull(), F.col("_r"))
+    return df.select(*(text.alias(c) if c == text_col else x for c, x in zip(kept, _fields(kept))))
 
 
 def op9_pii(documents: DataFrame) -> DataFrame:
