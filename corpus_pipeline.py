@@ -7,7 +7,7 @@ before it kept; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrutix.llm import cnn, mixing, packing, pii, setsketch
@@ -20,23 +20,25 @@ SHINGLE, PERCENT = 5, 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     net = cnn.fit(docs, table(spark, sf_dir, "labels"))
-    scored = cnn.classify(docs, net, name="_quality_score")
-    return scored.filter(F.col("_quality_score") >= cnn.THRESHOLD).drop("_quality_score")
+    name = "_quality"
+    while name in docs.columns:
+        name += "_"
+    return cnn.classify(docs, net, name=name).filter(F.col(name) >= cnn.THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id.
 
-    Rows that repeat an id are one document; rows without an id all stay.
+    Rows are documents, whatever their ids: different texts that share an id
+    both stay, and rows without an id take part and are kept last.
     """
-    found = setsketch.near_duplicates(docs, SHINGLE, PERCENT)
-    kept = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    columns = docs.columns
-    named = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col("text").alias("_text"))
-    # the join leaves rows where the window needs them
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("_text"))
-    one = named.join(kept, "doc_id", "left_semi").withColumn("_n", first).filter("_n = 1").select("_row.*")
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    # written once, so a row's number is the same wherever it is read
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "numbered")
+    found = setsketch.near_duplicates(rows.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text")), SHINGLE, PERCENT)
+    ids = rows.select("n", F.col("row.doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("first")
+    kept = found.select(F.col("doc_id").alias("n"), "component_id").join(ids, "n").groupBy("component_id").agg(first).select(F.col("first.n").alias("n"))
+    return rows.join(kept, "n", "left_semi").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
