@@ -128,7 +128,7 @@ def tiles(points: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
     import pyarrow as pa
 
     key = ["label", "dims", "cell"]
-    counts = points.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    counts = materialize(points.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "vec-cells")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     parts = points.join(counts, key).withColumn("tile", F.concat_ws(":", "dims", F.array_join(F.col("cell").cast("array<string>"), ","), part, "label"))
     packed = parts.groupBy("tile").agg(*(F.first(c).alias(c) for c in key), F.collect_list(F.struct("node", "weight", "x")).alias("rows"))

@@ -34,7 +34,9 @@ TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS = 0xAE, 0xE1, 0xA0, 0x
 TIMESTAMP_SCALE, TIMESTAMP, SIMPLE_BLOCK, BLOCK = 0x2AD7B1, 0xE7, 0xA3, 0xA1
 TRACK_NUMBER, TRACK_TYPE, CODEC_ID, SAMPLE_RATE, CHANNELS, BIT_DEPTH = 0xD7, 0x83, 0x86, 0xB5, 0x9F, 0x6264
 CUE_TIME, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0xB3, 0xF7, 0xF1, 0xF0
-MASTERS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
+REFERENCE_BLOCK, BLOCK_DURATION, DEFAULT_DURATION = 0xFB, 0x9B, 0x23E383
+ENCODINGS, ENCODING, COMPRESSION, COMPRESSION_ALGORITHM, COMPRESSION_SETTINGS, ENCRYPTION = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255, 0x5035
+MASTERS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS, ENCODINGS, ENCODING, COMPRESSION}
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -171,31 +173,69 @@ def block_frames(data: bytes, at: int, end: int) -> tuple[int, int, bool, list[t
 
 
 def demux(data: bytes) -> dict:
-    """Tracks, packets ``(track, timestamp_ns, offset, size, keyframe, cluster, lace)`` and cues."""
-    out: dict = {"tracks": {}, "packets": [], "cues": [], "scale": 1_000_000, "status": "ok"}
-    state = {"cluster": 0, "time": 0, "segment": 0}
+    """Tracks, packets and cues of a file.
+
+    Packets are ``(track, timestamp_ns, offset, size, keyframe, cluster, lace,
+    block)``: ``cluster`` is its position in the segment, ``block`` the
+    block's position in the cluster.  Cues are ``(time_ns, track, cluster,
+    block)``, the last None if the file doesn't say; ``bad_cues`` counts those
+    that point at no packet of their track and time.
+    """
+    out: dict = {"tracks": {}, "packets": [], "cues": [], "bad_cues": 0, "scale": 1_000_000, "status": "ok"}
     try:
         if data[:4] != EBML.to_bytes(4, "big"):
             raise Malformed("no EBML header")
-        _walk(data, 0, len(data), out, state)
-        rates = {k: t.get("rate", 0) for k, t in out["tracks"].items()}
-        packets, shift = [], {}
-        for track, ms, offset, size, key, cluster, k in out["packets"]:
-            # frames of one lace follow each other in time at the track's rate
-            shift = {track: 0} if k == 0 else shift
-            packets.append((track, ms * out["scale"] + shift.get(track, 0), offset, size, key, cluster, k))
-            shift[track] = shift.get(track, 0) + (int(size * 1e9 / rates[track]) if rates.get(track) else 0)
-        out["packets"] = packets
+        _walk(data, 0, len(data), out)
     except (Malformed, IndexError, struct.error) as e:
         out["status"] = f"malformed: {e}"
+    _finish(out)
     return out
 
 
-def _walk(data: bytes, at: int, end: int, out: dict, state: dict) -> None:
+def _finish(out: dict) -> None:
+    """Times in nanoseconds, frames of a lace one after the other, and cues held against packets."""
+    packets, shift = [], 0
+    for track, ticks, offset, size, key, cluster, k, block, frames, duration in out["packets"]:
+        t = out["tracks"].get(track, {})
+        shift = 0 if k == 0 else shift
+        packets.append((track, ticks * out["scale"] + shift, offset, size, key, cluster, k, block))
+        if duration is not None:
+            shift += duration * out["scale"] // frames
+        elif t.get("duration"):
+            shift += t["duration"]
+        elif t.get("rate") and t.get("codec", "").startswith("A_PCM"):
+            # uncompressed samples last as long as their number says
+            shift += int(size * 8e9 / (t["rate"] * t.get("channels", 1) * t.get("bits", 8)))
+    out["packets"] = packets
+    out["cues"] = [(time * out["scale"], *where) for time, *where in out["cues"]]
+    places = {(p[0], p[5], x, p[1]) for p in packets if p[6] == 0 for x in (p[7], None)}
+    out["bad_cues"] = sum((track, cluster, block, time) not in places for time, track, cluster, block in out["cues"])
+
+
+def frame_of(data: bytes, packet: tuple, tracks: dict) -> bytes:
+    """A packet's frame with its track's encodings undone."""
+    raw = data[packet[2] : packet[2] + packet[3]]
+    for algorithm, settings in tracks.get(packet[0], {}).get("encodings", ()):
+        if algorithm == 3:
+            raw = settings + raw  # stripped headers
+        elif algorithm == 0:
+            try:
+                raw = zlib.decompress(raw)
+            except zlib.error as e:
+                raise Malformed(f"frame at {packet[2]}: {e}") from e
+        else:
+            raise Malformed(f"unknown encoding {algorithm}")
+    return raw
+
+
+def _walk(data: bytes, at: int, end: int, out: dict) -> None:
     """Visit every element; ``stack`` holds (end, is a cluster of unknown size)."""
     stack = [(end, False)]
     track: dict = {}
     cue: dict = {}
+    group: dict = {}
+    segment = cluster = inside = ticks = 0
+    number = lambda body: int.from_bytes(body, "big")
     while True:
         while at >= stack[-1][0]:
             if len(stack) == 1:
@@ -214,33 +254,58 @@ def _walk(data: bytes, at: int, end: int, out: dict, state: dict) -> None:
             raise Malformed(f"element {ident:X} at {start} is longer than its parent")
         if ident in MASTERS:
             if ident == SEGMENT:
-                state["segment"] = at
+                segment = at
             elif ident == CLUSTER:
-                state["cluster"] = start - state["segment"]
+                cluster, inside = start - segment, at
             elif ident == TRACK_ENTRY:
                 track = {}
+            elif ident == BLOCK_GROUP:
+                group = {"first": len(out["packets"]), "start": start}
             elif ident == CUE_POINT:
                 cue = {}
+            elif ident == ENCODING:
+                track.setdefault("encodings", []).insert(0, (0, b""))  # the last one applied is undone first
             stack.append((stop, ident == CLUSTER and size < 0))
             continue
-        body = data[at:stop]
+        body = data[at:stop] if ident not in (SIMPLE_BLOCK, BLOCK) else b""
         if ident == TIMESTAMP_SCALE:
-            out["scale"] = int.from_bytes(body, "big")
+            out["scale"] = number(body)
         elif ident == TIMESTAMP:
-            state["time"] = int.from_bytes(body, "big")
+            ticks = number(body)
         elif ident == TRACK_NUMBER:
-            out["tracks"][int.from_bytes(body, "big")] = track
+            out["tracks"][number(body)] = track
         elif ident == CODEC_ID:
             track["codec"] = body.decode("ascii", "replace")
         elif ident == SAMPLE_RATE:
             track["rate"] = struct.unpack(">d" if len(body) == 8 else ">f", body)[0]
+        elif ident in (CHANNELS, BIT_DEPTH, DEFAULT_DURATION):
+            track[{CHANNELS: "channels", BIT_DEPTH: "bits", DEFAULT_DURATION: "duration"}[ident]] = number(body)
+        elif ident == COMPRESSION_ALGORITHM and track.get("encodings"):
+            track["encodings"][0] = (number(body), track["encodings"][0][1])
+        elif ident == COMPRESSION_SETTINGS and track.get("encodings"):
+            track["encodings"][0] = (track["encodings"][0][0], body)
+        elif ident == ENCRYPTION and track.get("encodings"):
+            track["encodings"][0] = (-1, b"")
         elif ident == CUE_TIME:
-            cue["time"] = int.from_bytes(body, "big")
-        elif ident == CUE_CLUSTER:
-            out["cues"].append((cue.get("time", 0), int.from_bytes(body, "big")))
+            cue["time"] = number(body)
+        elif ident == CUE_TRACK:
+            cue["track"] = number(body)
+            out["cues"].append((cue.get("time", 0), cue["track"], cue.get("cluster"), None))
+        elif ident in (CUE_CLUSTER, CUE_RELATIVE) and out["cues"]:
+            time, number_of, where, block = out["cues"][-1]
+            out["cues"][-1] = (time, number_of, number(body), block) if ident == CUE_CLUSTER else (time, number_of, where, number(body))
         elif ident in (SIMPLE_BLOCK, BLOCK):
-            number, rel, key, frames = block_frames(data, at, stop)
-            out["packets"] += [(number, state["time"] + rel, o, s, key, state["cluster"], k) for k, (o, s) in enumerate(frames)]
+            which, rel, key, frames = block_frames(data, at, stop)
+            # in a group the flag's bit is reserved: references decide
+            key, place = (key, start) if ident == SIMPLE_BLOCK else (not group.get("refers"), group.get("start", start))
+            duration = group.get("duration") if ident == BLOCK else None
+            out["packets"] += [(which, ticks + rel, o, s, key, cluster, k, place - inside, len(frames), duration) for k, (o, s) in enumerate(frames)]
+        elif ident in (REFERENCE_BLOCK, BLOCK_DURATION) and group:
+            group["refers"] = group.get("refers", False) or ident == REFERENCE_BLOCK
+            if ident == BLOCK_DURATION:
+                group["duration"] = number(body)
+            n = group["first"]
+            out["packets"][n:] = [(*p[:4], not group["refers"], *p[5:9], group.get("duration")) for p in out["packets"][n:]]
         at = stop
 
 
@@ -261,14 +326,15 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per packet: track, timestamp, byte range, keyframe, cluster and cue flag."""
+    """One row per packet: track, timestamp, byte range, keyframe, cluster and whether a cue points at it."""
     import pyarrow as pa
 
     def one(key, data):
         found = demux(data or b"")
-        cued = {c for _, c in found["cues"]}
-        for n, (track, ns, offset, size, keyframe, cluster, _) in enumerate(found["packets"]):
-            yield 80, (key, n, track, ns, offset, size, keyframe, cluster, cluster in cued, found["status"])
+        cued = {(c[1], c[2], c[3]) for c in found["cues"]}
+        for n, (track, ns, offset, size, keyframe, cluster, lace, block) in enumerate(found["packets"]):
+            hit = lace == 0 and ((track, cluster, block) in cued or (track, cluster, None) in cued)
+            yield 80, (key, n, track, ns, offset, size, keyframe, cluster, hit, found["status"])
         if not found["packets"]:
             yield 80, (key, None, None, None, None, None, None, None, None, found["status"])
 
@@ -289,7 +355,10 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def one(key, n, data):
         data = data or b""
         found = demux(data)
-        payload = b"".join(data[p[2] : p[2] + p[3]] for p in found["packets"])
+        try:
+            payload = b"".join(frame_of(data, p, found["tracks"]) for p in found["packets"])
+        except Malformed as e:
+            payload, found["status"] = b"", f"malformed: {e}"
         x = np.frombuffer(payload, np.uint8)
         signs = x >= 128
         stats = f"{x.mean():.6f}:{x.std():.6f}:{int(x.min())}:{int(x.max())}:{int((signs[1:] != signs[:-1]).sum())}" if len(x) else "-"
