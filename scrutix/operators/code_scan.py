@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +24,21 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, suffix), F.lit("text"))
 
 
+def _pruned(path: Column) -> Column:
+    """Whether a walk never descends to a path: skipped and dot folders."""
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    return F.exists(folders, lambda f: f.isin(*R.SKIP_DIRS) | (f.startswith(".") & ~f.isin(*R.DOT_DIRS)))
+
+
+def _matches(path: Column, globs: tuple[str, ...]) -> Column:
+    return F.coalesce(*(F.when(path.rlike(fnmatch.translate(g).replace(r"\Z", r"\z")), True) for g in globs), F.lit(False))
+
+
 def selected(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
     """Whether a walk would reach a path: skipped and dot folders, suffixes, user globs."""
-    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
-    pruned = F.exists(folders, lambda f: f.isin(*R.SKIP_DIRS) | (f.startswith(".") & ~f.isin(*R.DOT_DIRS)))
     suffix = F.lower(F.regexp_extract(path, r"(?<=[^/])(\.[^./]+)$", 1))
-    ok = ~pruned & ~suffix.isin(*R.SKIP_SUFFIXES)
-    match = lambda globs: F.coalesce(*(F.when(path.rlike(fnmatch.translate(g).replace(r"\Z", r"\z")), True) for g in globs), F.lit(False))
-    return ok & (match(include) if include else F.lit(True)) & ~(match(exclude) if exclude else F.lit(False))
+    ok = ~_pruned(path) & ~suffix.isin(*R.SKIP_SUFFIXES)
+    return ok & (_matches(path, include) if include else F.lit(True)) & ~(_matches(path, exclude) if exclude else F.lit(False))
 
 
 def is_text(content: Column) -> Column:
@@ -43,14 +50,97 @@ def is_text(content: Column) -> Column:
     return (n == 0) | (~bytes_.rlike("(?:^| )00 ") & (printable / n >= 0.7))
 
 
-def files_from_binary(df: DataFrame, root: str, max_file: int = 1 << 20, max_total: int | None = None) -> DataFrame:
-    """Text files of a ``binaryFile`` table: ``(scan_id, path, text, byte_size)``."""
-    path = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
-    d = df.filter(F.col("length") <= max_file).withColumn("path", path).filter(selected(F.col("path")) & is_text(F.col("content")))
+WALK = "path string, reason string"
+MAX_FILE, MAX_TOTAL, MAX_FILES = 1 << 20, 256 << 20, 25_000
+
+
+def _relative(root: str) -> Column:
+    """A listed file's path below ``root``; its name if ``root`` is the file itself."""
+    if not root:
+        return F.col("path")
+    base = re.escape(re.sub(r"^[a-z]+:/+(?=/)", "", root).rstrip("/"))
+    below = F.regexp_extract("path", f"^.*?{base}/(.*)$", 1)
+    return F.when(below != "", below).otherwise(F.regexp_extract("path", "([^/]*)$", 1))
+
+
+def walk(df: DataFrame, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), max_file: int = MAX_FILE, max_total: int = MAX_TOTAL, max_files: int = MAX_FILES) -> DataFrame:
+    """``(path, reason)`` of a ``binaryFile`` table: why a file is skipped, null if it is taken.
+
+    Files come in order of their paths.  One that would exceed ``max_total``
+    bytes is skipped and smaller ones after it may still fit; after
+    ``max_files`` the walk halts.  Files outside ``include``, pruned folders
+    and empty files aren't listed.  The fold over (path, size) runs in one
+    task, row by row; contents stay where they are.
+    """
+    import pyarrow as pa
+
+    suffix = F.lower(F.regexp_extract("p", r"(?<=[^/])(\.[^./]+)$", 1))
+    t = df.select(_relative(root).alias("p"), "length", is_text(F.col("content")).alias("plain")).filter("length > 0")
+    t = t.filter(~_pruned(F.col("p")))
+    if include:
+        t = t.filter(_matches(F.col("p"), include))
+    t = t.withColumn("wanted", ~_matches(F.col("p"), exclude) if exclude else F.lit(True))
+    why = F.when(suffix.isin(*R.SKIP_SUFFIXES), "binary extension").when(~F.col("wanted"), "exclude_globs").when(F.col("length") > max_file, "too large")
+    t = t.select("p", "length", "plain", why.alias("why")).repartition(1).sortWithinPartitions("p")
+
+    def run(batches):
+        total = count = 0
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                why = r["why"]
+                if count >= max_files and why is None:
+                    rows.append((r["p"], "max file count reached"))
+                    continue
+                if why is None and total + r["length"] > max_total:
+                    why = "total byte cap reached"
+                if why is None and not r["plain"]:
+                    why = "binary content"
+                if why is None:
+                    total, count = total + r["length"], count + 1
+                rows.append((r["p"], why))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in range(2)], names=["path", "reason"])
+
+    return t.mapInArrow(run, WALK)
+
+
+def walk_stats(walked: DataFrame) -> DataFrame:
+    """``(reason, files, examples)``: taken files have a null reason; at most 20 example paths each."""
+    return walked.groupBy("reason").agg(F.count("*").alias("files"), F.slice(F.array_sort(F.collect_set(F.when(F.col("reason").isNotNull(), F.col("path")))), 1, 20).alias("examples"))
+
+
+def files_from_binary(df: DataFrame, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), max_file: int = MAX_FILE, max_total: int = MAX_TOTAL, max_files: int = MAX_FILES) -> DataFrame:
+    """Text files that a walk takes: ``(scan_id, path, text, byte_size)``; ``walk`` says what it skips."""
+    taken = walk(df, root, include, exclude, max_file, max_total, max_files).filter("reason IS NULL").select("path")
+    d = df.withColumn("path", _relative(root)).join(taken, "path", "left_semi")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return d.select(F.lit(root).alias("scan_id"), "path", text.alias("text"), F.col("length").alias("byte_size"))
 
 
+def contained(path: str, base: str) -> bool:
+    """Whether a local path, links resolved, lies in ``base``."""
+    return Path(path).resolve().is_relative_to(Path(base).resolve())
+
+
+def finding_filter(found: DataFrame, severity: str | None = None, category: str | None = None, text: str | None = None) -> DataFrame:
+    """Findings of a severity and category that hold a text, whatever its case, in path, rule or snippet."""
+    if severity:
+        found = found.filter(F.col("severity") == severity)
+    if category:
+        found = found.filter(F.col("category") == category)
+    if text:
+        every = F.lower(F.concat_ws(" ", "path", "rule_id", "snippet"))
+        found = found.filter(F.contains(every, F.lower(F.lit(text))))
+    return found
+
+
+def fold_in(found: DataFrame, more: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings with a model's findings among them, and the scans' scores anew."""
+    columns = [c.split()[0] for c in FINDING.split(", ")]
+    both = found.select(*columns).unionByName(more.select(*columns))
+    return both, scan_scores(both, files)
+
+
 def glob_matches(path: str, pattern: str) -> bool:
     """``**/`` stands for any folders, also none; else an ordinary glob of the path or its name."""
     if pattern.startswith("**/"):

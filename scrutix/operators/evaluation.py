@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrutix.sources.tables import materialize
+
 BUCKETS = 64
 
 
@@ -23,9 +25,14 @@ def validate(df: DataFrame) -> None:
 
 
 def roc_points(df: DataFrame) -> DataFrame:
-    """``(score, pos, neg, tp, fp, p, n)`` for each distinct score; tp and fp count scores at or above."""
+    """``(score, pos, neg, tp, fp, p, n)`` for each distinct score; tp and fp count scores at or above.
+
+    ``df`` is read once: counts by score are written as a table, from which
+    ranges, sums and points come.
+    """
     g = df.filter("score IS NOT NULL").groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    bounds = df.agg(F.percentile_approx("score", [i / BUCKETS for i in range(1, BUCKETS)], 10000)).first()[0] or []
+    g = materialize(g, "roc-scores")
+    bounds = g.agg(F.percentile_approx("score", [i / BUCKETS for i in range(1, BUCKETS)], 10000)).first()[0] or []
     cuts = sorted(set(bounds))
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b > F.col("score"))) if cuts else F.lit(0)
     g = g.withColumn("_b", bucket)
@@ -88,12 +95,15 @@ def calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def report(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row with every measure."""
+    """One row with every measure; rows without a score are counted as skipped."""
     points = roc_points(df)
-    parts = [auc(points), tpr_at_fpr(points, 0.01).withColumnRenamed("tpr", "tpr_at_1pct"), tpr_at_fpr(points, 0.05).withColumnRenamed("tpr", "tpr_at_5pct"), confusion(df, threshold), best_f1(points).select(F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1")), calibration_error(df)]
+    scored = F.col("score").isNotNull()
+    counts = df.agg(F.count_if(scored).alias("scored"), F.count_if(scored & (F.col("label") == 1)).alias("positive"), F.count_if(scored & (F.col("label") == 0)).alias("negative"), F.count_if(~scored).alias("skipped"))
+    tprs = [tpr_at_fpr(points, t / 100).withColumnRenamed("tpr", f"tpr_at_{t}pct") for t in (1, 5, 10)]
+    parts = [counts, auc(points), *tprs, confusion(df, threshold), best_f1(points).select(F.col("threshold").alias("best_threshold"), F.col("f1").alias("best_f1")), calibration_error(df)]
     out = parts[0].withColumn("_k", F.lit(1))
     for p in parts[1:]:
-        out = out.join(p.withColumn("_k", F.lit(1)), "_k")  # one row each
+        out = out.join(p.withColumn("_k", F.lit(1)), "_k", "left")  # one row each
     return out.drop("_k")
 
 
@@ -103,14 +113,16 @@ def report(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 def fit_logistic(df: DataFrame, features: list[str], label: str = "label", l2: float = 1.0, rate: float = 0.1, steps: int = 2000, limit: int = 100_000) -> dict:
     """Full-batch gradient descent on standardised features.
 
-    Spark reduces the table to distinct feature vectors with counts (at most
-    ``limit``, else an error); the descent over them runs on the driver.
+    Spark reduces the table to distinct feature vectors with counts; with at
+    most ``limit`` of them the descent runs on the driver.  A larger table
+    stays distributed: Newton's method on the same penalised loss, one
+    aggregation a step, reaches the optimum that the descent approaches.
     """
     import numpy as np
 
     groups = df.groupBy(*features, label).count().limit(limit + 1).collect()
     if len(groups) > limit:
-        raise ValueError(f"more than {limit} distinct rows; use spark.ml for continuous features")
+        return _fit_newton(df, features, label, l2)
     if not groups:
         raise ValueError("cannot fit on an empty table")
     x = np.array([[float(g[f]) for f in features] for g in groups]).reshape(len(groups), len(features))
@@ -127,6 +139,88 @@ def fit_logistic(df: DataFrame, features: list[str], label: str = "label", l2: f
     return {"bias": float(b - (w * mean / std).sum()), "weights": dict(zip(features, map(float, w / std))), "trained_on": int(n)}
 
 
+def _fit_newton(df: DataFrame, features: list[str], label: str, l2: float, steps: int = 12) -> dict:
+    import numpy as np
+
+    d = len(features)
+    stats = df.agg(F.count("*").alias("n"), *(x for f in features for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}")))).first()
+    n = stats["n"]
+    mean = np.array([stats[f"m_{f}"] for f in features], float)
+    std = np.array([stats[f"s_{f}"] if stats[f"s_{f}"] > 1e-12 else 1.0 for f in features], float)
+    t = df.select(F.array(F.lit(1.0), *((F.col(f) - m) / s for f, m, s in zip(features, mean.tolist(), std.tolist()))).alias("z"), F.col(label).cast("double").alias("y"))
+    w = np.zeros(d + 1)
+    z = lambda i: F.get("z", F.lit(i))
+    for _ in range(steps):
+        at = F.aggregate(F.zip_with("z", F.array(*map(F.lit, w.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        s = t.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(60.0)), F.lit(-60.0))))).withColumns({"e": F.col("p") - F.col("y"), "v": F.col("p") * (1 - F.col("p"))})
+        r = s.agg(*(F.sum(F.col("e") * z(i)) for i in range(d + 1)), *(F.sum(F.col("v") * z(i) * z(j)) for i in range(d + 1) for j in range(i, d + 1))).first()
+        penalty = l2 * np.r_[0.0, w[1:]]
+        hessian = np.zeros((d + 1, d + 1))
+        hessian[np.triu_indices(d + 1)] = r[d + 1 :]
+        hessian += np.triu(hessian, 1).T + np.diag([1e-9] + [l2] * d)
+        step = np.linalg.solve(hessian, np.array(r[: d + 1]) + penalty)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return {"bias": float(w[0] - (w[1:] * mean / std).sum()), "weights": dict(zip(features, map(float, w[1:] / std))), "trained_on": int(n)}
+
+
+def predicted(model: dict) -> Column:
+    """A fitted model's probability over its feature columns."""
+    z = F.lit(model["bias"])
+    for f, w in model["weights"].items():
+        z = z + F.lit(w) * F.col(f)
+    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(60.0)), F.lit(-60.0))))
+
+
+def fit_platt(df: DataFrame, l2: float = 1.0) -> dict:
+    """Platt scaling of ``(score, label)``: the model, and calibration before and after it."""
+    t = df.filter("score IS NOT NULL").select(F.col("score").cast("double").alias("score"), "label")
+    model = fit_logistic(t, ["score"], l2=l2)
+    before = calibration_error(t).first()
+    after = calibration_error(t.select(predicted(model).alias("score"), "label")).first()
+    return {"model": model, "n": model["trained_on"], "ece_before": before.ece, "ece_after": after.ece, "brier_before": before.brier, "brier_after": after.brier}
+
+
+def signal_features(scored: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Activations of the signals that fire anywhere in ``scored`` (signals, label), and their sorted names."""
+    from scrutix.functions.lexicons import SIGNALS
+
+    from .scoring import activation
+
+    hits = lambda k: F.filter("signals", lambda s: s["name"] == k)
+    value = lambda k: F.when(F.size(hits(k)) > 0, activation(F.get(hits(k), F.lit(0))["count"])).otherwise(0.0)
+    t = materialize(scored.select("label", *(value(k).cast("double").alias(k) for k in sorted(SIGNALS))), "signal-features")
+    seen = t.agg(*(F.max(k).alias(k) for k in sorted(SIGNALS))).first()
+    names = [k for k in sorted(SIGNALS) if seen[k]]
+    return t.select("label", *names), names
+
+
+def learn_weights(scored: DataFrame, l2: float = 2.0) -> dict:
+    """Weights of signals from scored examples (signals, label), as a weights file holds them.
+
+    ``train_auc`` is measured on the examples themselves, so it flatters.
+    """
+    t, names = signal_features(scored)
+    if not names:
+        raise ValueError("no signal fired on any example; there is nothing to learn from")
+    model = fit_logistic(t, names, l2=l2)
+    area = auc(roc_points(t.select(predicted(model).alias("score"), "label"))).first().auc
+    return {"bias": round(model["bias"], 6), "weights": {k: round(v, 6) for k, v in model["weights"].items()}, "trained_on": model["trained_on"], "train_auc": None if area is None else round(area, 4), "l2": l2}
+
+
+def write_weights(spark: SparkSession, weights: dict, path: str) -> None:
+    """Write learned weights as JSON where ``path`` says, on any file system Spark knows."""
+    import json
+
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(json.dumps(weights, indent=2).encode()))
+    finally:
+        out.close()
+
+
 def perplexity_mapping(df: DataFrame, l2: float = 0.0) -> dict | None:
     """Midpoint and steepness of a falling logistic in perplexity; None if it doesn't fall."""
     m = fit_logistic(df, ["score"], l2=l2)
@@ -134,11 +228,6 @@ def perplexity_mapping(df: DataFrame, l2: float = 0.0) -> dict | None:
     return {"midpoint": -m["bias"] / c, "steepness": -1 / c, "n": m["trained_on"]} if c < 0 else None
 
 
-def perplexity_likelihood(perplexity, midpoint: float = 60.0, steepness: float = 20.0):
-    """Likelihood from a perplexity column."""
-    return 1 / (1 + F.exp(F.greatest(F.least((perplexity - midpoint) / steepness, F.lit(60.0)), F.lit(-60.0))))
-
-
 def load_weights(text: str) -> dict | None:
     """Learned weights from JSON text; None unless finite and not all zero."""
     import json

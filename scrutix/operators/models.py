@@ -71,6 +71,38 @@ def with_first_json(df: DataFrame, column: str = "reply") -> DataFrame:
     return df.withColumn("json", F.pandas_udf(pick, "string")(F.col(column)))
 
 
+VERDICTS = ("true_positive", "false_positive", "uncertain")
+MAX_REASON = 600
+
+
+def judgement(reply_json: Column) -> Column:
+    """Struct (verdict, confidence, reason) from a judge's JSON.
+
+    A verdict that isn't known is ``uncertain``, confidence lies in [0, 1]
+    (0.5 where none is given) and the reason is cut.
+    """
+    r = F.from_json(reply_json, "verdict string, confidence double, reason string")
+    verdict = F.lower(F.trim(r["verdict"]))
+    confidence = F.when(F.isnan(r["confidence"]), None).otherwise(r["confidence"])
+    return F.when(
+        reply_json.isNotNull(),
+        F.struct(
+            F.when(verdict.isin(*VERDICTS), verdict).otherwise("uncertain").alias("verdict"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.5)))).alias("confidence"),
+            F.left(F.coalesce(r["reason"], F.lit("")), F.lit(MAX_REASON)).alias("reason"),
+        ),
+    )
+
+
+def judged(df: DataFrame, column: str = "reply") -> DataFrame:
+    """``df`` with ``judgement`` from a model's reply, credentials in its reason redacted."""
+    from .redaction import redact_text
+
+    out = with_first_json(df, column).withColumn("judgement", judgement(F.col("json")))
+    out = redact_text(out.withColumn("_reason", F.col("judgement.reason")), "_reason")
+    return out.withColumn("judgement", F.when(F.col("judgement").isNotNull(), F.col("judgement").withField("reason", F.col("redacted")))).drop("json", "_reason", "redacted", "was_redacted")
+
+
 def verified(findings: DataFrame, judgements: DataFrame) -> DataFrame:
     """Findings with a model's verdict by (path, rule, line); null where it gave none."""
     key = ["path", "rule_id", "line_start"]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrutix.functions.text import sealed
+
 # --- fixed values: patterns in order of application; group 1 stays, group 2 goes
 
 PEM = r"-----BEGIN (?:RSA |EC |OPENSSH |PGP |DSA )?PRIVATE KEY( BLOCK)?-----[\s\S]*?-----END"
@@ -49,4 +51,5 @@ def redact_text(df: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumns({"_hit": t.rlike(PEM), "_t": F.regexp_replace(t, PEM, "[REDACTED_PRIVATE_KEY_BLOCK]")})
     for pattern, keep in ((ASSIGNED, True), (KEY_VALUE, True), *((p, False) for p in VENDOR)):
         df = _replace(df, pattern, keep)
-    return df.withColumnsRenamed({"_t": "redacted", "_hit": "was_redacted"})
+    # a filter on the result stays above it
+    return sealed(df.withColumnsRenamed({"_t": "redacted", "_hit": "was_redacted"}), ["redacted", "was_redacted"])

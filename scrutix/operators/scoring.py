@@ -98,6 +98,17 @@ def risk_band(score: Column, high: float = 0.60, moderate: float = 0.30) -> Colu
     return F.when(score >= high, "high").when(score >= moderate, "moderate").otherwise("low")
 
 
+def alert(score: Column, threshold: float = 0.60) -> Column:
+    """Whether a score asks for attention."""
+    return score >= threshold
+
+
+def profile_of(domain: Column, profile: str = "general") -> Column:
+    """The profile that a row's domain names, else ``profile``."""
+    own = [p for p in L.PROFILES if p != "general"]
+    return F.when(domain.isin(*own), domain).otherwise(profile)
+
+
 def dimensions(signals: Column) -> Column:
     """Array of (name, score, status): category sums over bases from rounded densities."""
     base = {
@@ -133,7 +144,7 @@ def score_text(df: DataFrame, text_col: str = "text", profile_col: str | None =
     score.  Texts, statistics and signals are sealed, so filters on results
     stay above them; dimensions and advice are pruned unless selected.
     """
-    made = {*T.METRICS, "signals", "score_raw", "score", "risk", "dimensions", "sample_quality", "algorithm", "recommendation"}
+    made = {*T.METRICS, "signals", "score_raw", "score", "risk", "dimensions", "sample_quality", "algorithm", "recommendation", "alert"}
     kept = [c for c in df.columns if c not in made]
     # input columns travel in a struct: their names can't meet the engine's
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"), (F.col(f"`{profile_col}`") if profile_col else F.lit("general")).alias("_profile"))
@@ -142,6 +153,6 @@ def score_text(df: DataFrame, text_col: str = "text", profile_col: str | None =
     raw = learned_score(F.col("signals"), F.col("word_count"), weights) if weights else rule_score(F.col("signals"), F.col("word_count"))
     out = T.sealed(out, ["signals"]).withColumn("score_raw", raw).withColumn("score", F.round("score_raw", 3))
     out = T.sealed(out, ["score_raw", "score"])
-    out = out.withColumns({"risk": risk_band(F.col("score")), "dimensions": dimensions(F.col("signals")), "sample_quality": sample_quality(F.col("word_count")), "algorithm": F.lit(VERSION + ("+learned" if weights else ""))})
+    out = out.withColumns({"risk": risk_band(F.col("score")), "alert": alert(F.col("score")), "dimensions": dimensions(F.col("signals")), "sample_quality": sample_quality(F.col("word_count")), "algorithm": F.lit(VERSION + ("+learned" if weights else ""))})
     out = out.withColumn("recommendation", recommendation(F.col("risk"), F.col("dimensions")))
-    return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), *T.METRICS, "signals", "score_raw", "score", "risk", "dimensions", "sample_quality", "algorithm", "recommendation")
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in kept), *T.METRICS, "signals", "score_raw", "score", "risk", "dimensions", "sample_quality", "algorithm", "recommendation", "alert")

@@ -89,28 +89,70 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return out.withColumns({**facts, "page_text": text, "content_sha256": F.sha2(html_col, 256), "byte_count": F.octet_length(html_col).cast("long")}).drop("_page")
 
 
+def normalized_url(url: Column) -> Column:
+    """A url without white space at its ends and with ``https://`` if it has no scheme."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    return F.when((u == "") | F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("https://"), u))
+
+
+def _host(full: Column) -> Column:
+    net = F.regexp_extract(full, r"^[^:/?#]*://([^/?#]*)", 1)
+    return F.regexp_replace(F.regexp_replace(net, r"^.*@", ""), r":[^:\]]*$", "")
+
+
 def url_policy(url: Column) -> Column:
     """Why a url may not be fetched; null if it may."""
     u = F.trim(F.coalesce(url, F.lit("")))
-    full = F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("https://"), u))
+    full = normalized_url(url)
     scheme = F.lower(F.regexp_extract(full, r"^([^:/?#]*)://", 1))
     net = F.regexp_extract(full, r"^[^:/?#]*://([^/?#]*)", 1)
     at = net.rlike("@")
     port = F.regexp_extract(net, r":([^:\]]*)$", 1)
-    host = F.regexp_replace(F.regexp_replace(net, r"^.*@", ""), r":[^:\]]*$", "")
     return (
         F.when(u == "", "empty")
         .when(u.rlike(r"[\x00-\x20\x7f\x{80}-\x{A0}\s]"), "space or control character")
         .when(F.contains(u, F.lit("\\")), "backslash")
         .when(F.length(u) > MAX_URL, "too long")
         .when(~scheme.isin("http", "https"), "scheme")
-        .when(host == "", "no host")
+        .when(_host(full) == "", "no host")
         .when(at, "user information")
         .when(net.endswith(":"), "port")
         .when((port != "") & ~port.isin(*map(str, PORTS)), "port")
     )
 
 
+def ascii_host(host: str | None) -> str | None:
+    """A host name in its ASCII (punycode) form; null if it has none."""
+    try:
+        return host.encode("idna").decode("ascii").lower() if host else None
+    except UnicodeError:
+        return None
+
+
+def with_safe_url(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """``df`` with ``refused`` (why a url may not be fetched) and ``safe_url``, the url to fetch.
+
+    The host of ``safe_url`` is lower-case ASCII, so it is the host that was
+    judged.  Hosts beyond ASCII alone reach Python.
+    """
+    import pandas as pd
+
+    def convert(s):
+        return s.map(ascii_host, na_action="ignore")
+
+    convert.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    full = normalized_url(F.col(url_col))
+    host = _host(full)
+    odd = host.rlike(r"[^\x00-\x7F]")
+    out = df.withColumns({"_full": full, "_host": host, "refused": url_policy(F.col(url_col))})
+    out = out.withColumn("_plain", F.when(odd, F.pandas_udf(convert, "string")(F.when(odd, host))).otherwise(F.lower("_host")))
+    out = out.withColumn("refused", F.coalesce("refused", F.when(F.col("_plain").isNull(), F.lit("host"))))
+    start = F.instr("_full", "://") + 3
+    rest = F.substring("_full", start + F.length("_host"), F.length("_full"))
+    safe = F.when(F.col("refused").isNull(), F.concat(F.substring("_full", F.lit(1), start - 1), F.col("_plain"), rest))
+    return out.withColumn("safe_url", safe).drop("_full", "_host", "_plain")
+
+
 def address_blocked(address: str | None) -> bool | None:
     """Whether an IP address, or one embedded in it, isn't public."""
     try:

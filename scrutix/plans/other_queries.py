@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrutix.functions import text as T
 from scrutix.operators import code_rules, code_scan, evaluation, guard, media, redaction, scoring, web
-from scrutix.sources.tables import spread, table
+from scrutix.sources.tables import shared_dir, spread, table
 from scrutix.streaming import limiter
 
 from .text_queries import ORACLE_SQL as TEXT_SQL
-from .text_queries import _base
+from .text_queries import _base, _q
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +55,10 @@ FILES = (
 )
 
 
+#: Entries of manifests: (kind, name, version).
+USED = (("npm", "event-stream", "3.3.6"), ("npm", "event-stream", "4.0.0"), ("npm", "colors", "1.4.2"), ("pypi", "request", "9.9"), ("pypi", "requests", "2.0"))
+
+
 #: Leading bytes of media files, as hex: (id, hex).
 HEADS = ((1, "89504E470D0A1A0A00000000"), (2, "FFD8FFE000104A4649460001"), (3, "524946460000000057454250"), (4, "474946383961000000000000"), (5, "000000186674797068656963"), (6, "000000186674797061766966"), (7, "000000186674797071742020"), (8, "000000186674797069736F6D"), (9, "504B03040000000000000000"), (10, "89504E47"))
 
@@ -64,11 +70,9 @@ def _media_sniff(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream_scores(spark: SparkSession, d: str) -> DataFrame:
     """Documents scored as a stream over every file there is, then read from its sink."""
-    import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "documents")
     # a file source reads folders: a single file is its folder with a glob
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "documents.parquet").parquet(d) if _is_file(spark, f"{d}/documents.parquet") else spark.readStream.schema(source.schema).parquet(f"{d}/documents.parquet")
@@ -90,7 +94,7 @@ def _files(spark: SparkSession) -> DataFrame:
 def _known_bad(spark: SparkSession, d: str) -> DataFrame:
     """Manifest entries joined with the table of bad versions."""
     bad = spark.createDataFrame([(k, n, v) for k, t in code_rules.KNOWN_BAD.items() for n, vs in t.items() for v in vs], "kind string, name string, version string")
-    used = spark.createDataFrame([("npm", "event-stream", "3.3.6"), ("npm", "event-stream", "4.0.0"), ("npm", "colors", "1.4.2"), ("pypi", "request", "9.9"), ("pypi", "requests", "2.0")], "kind string, name string, used string")
+    used = spark.createDataFrame(list(USED), "kind string, name string, used string")
     return used.join(bad, ["kind", "name"]).filter((F.col("version") == "*") | (F.col("version") == F.col("used"))).select("kind", "name", "used")
 
 
@@ -120,7 +124,7 @@ QUERIES = {
     "url_policy_fixture": lambda s, d: s.createDataFrame(list(URLS), "case_id int, url string").select("case_id", web.url_policy(F.col("url")).alias("refused")),
     "guard_conversations": lambda s, d: guard.scan_text(table(s, d, "conversations")).select("conv_id", "turn", F.size("guard").cast("long").alias("hits")),
     "guard_reviews_fixture": _review_rows,
-    "redact_documents": lambda s, d: redaction.redact_text(spread(table(s, d, "documents"))).select("doc_id", "was_redacted"),
+    "redact_documents": lambda s, d: redaction.redact_text(spread(table(s, d, "documents"))).select("doc_id", "was_redacted", F.sha2("redacted", 256).alias("redacted_sha256")),
     "redact_fixture": lambda s, d: redaction.redact_text(s.createDataFrame(list(SECRETS), "case_id int, text string")).select("case_id", "was_redacted", "redacted"),
     "code_findings_fixture": lambda s, d: code_scan.findings(_files(s)).select("scan_id", "path", "rule_id", "severity", F.col("line_start").cast("long").alias("line_start")),
     "code_scores_fixture": lambda s, d: code_scan.scan_scores(code_scan.findings(_files(s)), _files(s)),
@@ -131,19 +135,78 @@ QUERIES = {
     "rate_limit_events": lambda s, d: limiter.rate_limit(table(s, d, "events"), limit=3, window=3600.0),
 }
 
-_DOCS_SECRET = r"(?i)(password|passwd|pwd|secret|api[_\-]?key|token|access[_\-]?token)[\"'' ]*[:=][\"'' ]*[A-Za-z0-9!@#$%^&*()_+=\-/]{6,}"
+
+
+def _rules(text: str, patterns) -> str:
+    """Rows (review_id, name, severity) of the patterns that a text column matches."""
+    flat = lambda p: re.sub(r"^\(\?([a-z]+)\)", lambda m: f"(?{m[1].replace('d', '')})" if m[1] != "d" else "", p)
+    return " UNION ALL ".join(f"SELECT review_id, '{n}' AS name, '{guard.SEVERITY[c]}' AS severity FROM t WHERE regexp_matches({text}, {_q(flat(p))})" for n, c, p in patterns)
+
+
+_REVIEWS = "(VALUES " + ", ".join(f"({i}, {_q(a)}, {_q(b)}, {_q(c)})" for i, a, b, c in REVIEWS) + ") AS r(review_id, title, body, patch)"
+_GUARD = f"""WITH r AS (SELECT * FROM {_REVIEWS}), l AS (SELECT *, string_split(patch, chr(10)) AS lines FROM r),
+t AS (SELECT review_id, title || chr(10) || chr(10) || body AS said,
+  CASE WHEN len(list_filter(lines, lambda x: x LIKE '+%' OR x LIKE '@@%')) > 0 THEN array_to_string(list_transform(list_filter(lines, lambda x: x LIKE '+%' AND x NOT LIKE '+++%'), lambda x: substring(x, 2)), chr(10)) ELSE patch END AS added FROM l)
+{_rules("said", guard.STEERING)} UNION ALL {_rules("added", guard.CHANGES)}"""
+
+
+def _redacted(source: str, key: str) -> str:
+    """``t`` (key, text), pattern after pattern, as the last of CTEs r0, r1, ...; vendors' tokens but the one with look-behind."""
+    steps = [(redaction.ASSIGNED, 2), (redaction.KEY_VALUE.replace("(?md)", "(?m)"), 2), *((p, 0) for p in redaction.VENDOR if "(?<=" not in p)]
+    mark = "'[REDACTED_SECRET:sha256:' || substring(sha256({v}), 1, 12) || ']'"
+    out = [f"r0 AS (SELECT {key}, regexp_replace(coalesce(text, ''), {_q(redaction.PEM)}, '[REDACTED_PRIVATE_KEY_BLOCK]', 'g') AS t, regexp_matches(coalesce(text, ''), {_q(redaction.PEM)}) AS hit FROM {source})"]
+    for k, (p, group) in enumerate(steps):
+        value = "m[i]"
+        put = f"CASE WHEN length({value}) >= 12 THEN substring({value}, 1, 4) || '...' || right({value}, 4) || ' ' ELSE '' END || {mark.format(v=value)}"
+        prefix = "p[i] || " if group else ""
+        out.append(f"s{k} AS (SELECT *, regexp_matches(t, {_q(p)}) AS now, regexp_split_to_array(t, {_q(p)}) AS g, regexp_extract_all(t, {_q(p)}, {group}) AS m, regexp_extract_all(t, {_q(p)}, {1 if group else 0}) AS p FROM r{k})")
+        out.append(f"r{k + 1} AS (SELECT {key}, CASE WHEN now THEN array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(m) THEN {prefix}{put} ELSE '' END), '') ELSE t END AS t, hit OR now AS hit FROM s{k})")
+    return "WITH " + ", ".join(out) + " "
+
+
+_LAST = 2 + sum("(?<=" not in p for p in redaction.VENDOR)
+_SECRET_ROWS = "(VALUES " + ", ".join(f"({i}, {_q(t)})" for i, t in SECRETS) + ") AS f(case_id, text)"
+_FULL_URL = "CASE WHEN u = '' OR contains(u, '://') THEN u ELSE 'https://' || u END"
+_URL_POLICY = rf"""WITH f AS (SELECT case_id, trim(url) AS u FROM (VALUES {", ".join(f"({i}, {_q(u)})" for i, u in URLS)}) AS v(case_id, url)),
+n AS (SELECT *, {_FULL_URL} AS full_url FROM f), h AS (SELECT *, regexp_extract(full_url, '^[^:/?#]*://([^/?#]*)', 1) AS net FROM n)
+SELECT case_id, CASE WHEN u = '' THEN 'empty' WHEN regexp_matches(u, '[\x00-\x20\x7f]') THEN 'space or control character' WHEN contains(u, '\') THEN 'backslash' WHEN length(u) > 2048 THEN 'too long'
+  WHEN NOT regexp_matches(full_url, '(?i)^https?://') THEN 'scheme' WHEN regexp_replace(regexp_replace(net, '^.*@', ''), ':[^:]*$', '') = '' THEN 'no host' WHEN contains(net, '@') THEN 'user information'
+  WHEN regexp_matches(net, ':$') THEN 'port' WHEN regexp_matches(net, ':[^:]+$') AND NOT regexp_matches(net, ':(80|443)$') THEN 'port' END AS refused FROM h"""
+_LIMIT = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, true AS allowed, [t] AS log FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.k, len(list_filter(r.log, lambda x: x >= e.t - 3600)) < 3,
+    CASE WHEN len(list_filter(r.log, lambda x: x >= e.t - 3600)) < 3 THEN list_append(list_filter(r.log, lambda x: x >= e.t - 3600), e.t) ELSE list_filter(r.log, lambda x: x >= e.t - 3600) END
+  FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, allowed FROM r"""
+
+
+def _tpr(target: float) -> str:
+    """The largest TPR within a FPR budget, from ``r``; a subquery."""
+    inside = f"SELECT fp / n AS x, tp / p AS y FROM r WHERE p > 0 AND n > 0 AND fp / n <= {target} ORDER BY x DESC, y DESC LIMIT 1"
+    beyond = f"SELECT fp / n AS x, tp / p AS y FROM r WHERE p > 0 AND n > 0 AND fp / n > {target} ORDER BY x, y LIMIT 1"
+    return f"(SELECT CASE WHEN b.x IS NULL THEN coalesce(a.y, 0) ELSE coalesce(a.y, 0) + ({target} - coalesce(a.x, 0)) / (b.x - coalesce(a.x, 0)) * (b.y - coalesce(a.y, 0)) END FROM (SELECT 1 AS one) LEFT JOIN ({inside}) a ON true LEFT JOIN ({beyond}) b ON true)"
+
+
+_BAD = ", ".join(f"({_q(k)}, {_q(n)}, {_q(v)})" for k, t in code_rules.KNOWN_BAD.items() for n, vs in t.items() for v in vs)
+_USED = ", ".join(f"({_q(k)}, {_q(n)}, {_q(v)})" for k, n, v in USED)
 ORACLE_SQL = {
     "eval_roc": f"{_EVAL} SELECT score, pos, neg, tp, fp FROM r",
     "eval_auc": f"{_EVAL} SELECT round(sum(pos * (n - fp + neg / 2)) / (max(p) * max(n)), 6) + 0.0 AS auc FROM r",
     "eval_confusion": f"{_EVAL}, conf AS (SELECT count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp, count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn FROM s) SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) + 0.0 AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) + 0.0 AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) + 0.0 AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) + 0.0 AS accuracy, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) + 0.0 AS fpr FROM conf",
+    "eval_report": f"{_EVAL}, conf AS (SELECT count(*) AS scored, count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp, count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn FROM s), b AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS k, avg(score) AS c, avg(label) AS a, sum((score - label) ** 2) AS e FROM s GROUP BY 1), f AS (SELECT score, 2 * tp / (tp + fp + p) AS f1 FROM r ORDER BY round(2 * tp / (tp + fp + p), 12) DESC, score DESC LIMIT 1) SELECT conf.*, (SELECT round(sum(pos * (n - fp + neg / 2)) / (max(p) * max(n)), 6) + 0.0 FROM r) AS auc, " + ", ".join(f"round({_tpr(t / 100)}, 6) + 0.0 AS tpr_at_{t}pct" for t in (1, 5, 10)) + ", round(coalesce(tp / nullif(tp + fp, 0), 0), 6) + 0.0 AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) + 0.0 AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) + 0.0 AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) + 0.0 AS accuracy, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) + 0.0 AS fpr, (SELECT round(score, 6) + 0.0 FROM f) AS best_threshold, (SELECT round(f1, 6) + 0.0 FROM f) AS best_f1, (SELECT round(sum(k * abs(c - a)) / sum(k), 6) + 0.0 FROM b) AS ece, (SELECT round(sum(e) / sum(k), 6) + 0.0 FROM b) AS brier FROM conf",
     "eval_best_f1": f"{_EVAL} SELECT score AS threshold, round(2 * tp / (tp + fp + p), 6) + 0.0 AS f1, tp, fp FROM r ORDER BY round(2 * tp / (tp + fp + p), 12) DESC, score DESC LIMIT 1",
     "eval_calibration": f"{_EVAL}, b AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS k, avg(score) AS c, avg(label) AS a, sum((score - label) ** 2) AS e FROM s GROUP BY 1) SELECT round(sum(k * abs(c - a)) / sum(k), 6) + 0.0 AS ece, round(sum(e) / sum(k), 6) + 0.0 AS brier FROM b",
     "corpus_label_stats": "SELECT lang, quality, count(*) AS docs FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (quality))",
     "page_hash_size": "SELECT page_id, sha256(html) AS content_sha256, strlen(html) AS byte_count FROM pages",
     "page_url_policy": r"SELECT page_id, CASE WHEN regexp_matches(url, '[\x00-\x20]') THEN 'space or control character' WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' WHEN regexp_matches(url, '^https?://[^/?#]*@') THEN 'user information' WHEN regexp_matches(url, '^https?://[^/?#]*:') THEN 'port' END AS refused FROM pages",
     "guard_conversations": r"SELECT conv_id, turn, CAST(regexp_matches(coalesce(text, ''), '(?i)\b(ignore|disregard|forget)\s+(all\s+)?(previous|prior|above)\s+instructions\b')::INT + regexp_matches(coalesce(text, ''), '(?i)\b(system|developer)\s+prompt\b|\bact\s+as\s+(?:a|an)\b')::INT + regexp_matches(coalesce(text, ''), '(?i)\b(do\s+not|don''t|dont)\s+(flag|detect|report|scan|review)\b')::INT AS BIGINT) AS hits FROM conversations",
-    "redact_documents": f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{_DOCS_SECRET}') AS was_redacted FROM documents",
-    "media_sniff": "SELECT * FROM (VALUES (1, 'png'), (2, 'jpeg'), (3, 'webp'), (4, 'gif'), (5, 'heic'), (6, 'avif'), (7, 'mov'), (8, 'mp4'), (9, 'unknown'), (10, 'unknown')) AS t(case_id, format)",
+    "redact_documents": _redacted("documents", "doc_id") + f"SELECT doc_id, hit AS was_redacted, sha256(t) AS redacted_sha256 FROM r{_LAST}",
+    "redact_fixture": _redacted(_SECRET_ROWS, "case_id") + f"SELECT case_id, hit AS was_redacted, t AS redacted FROM r{_LAST}",
+    "guard_reviews_fixture": _GUARD,
+    "url_policy_fixture": _URL_POLICY,
+    "rate_limit_events": _LIMIT,
+    "eval_tpr_at_fpr": f"{_EVAL} SELECT round({_tpr(0.05)}, 6) + 0.0 AS tpr",
+    "media_sniff": "SELECT case_id, CASE WHEN head LIKE '89504E470D0A1A0A%' THEN 'png' WHEN head LIKE 'FFD8FF%' THEN 'jpeg' WHEN head LIKE '52494646%' AND substring(head, 17, 8) = '57454250' THEN 'webp' WHEN head LIKE '474946383961%' OR head LIKE '474946383761%' THEN 'gif' WHEN substring(head, 9, 8) = '66747970' THEN CASE WHEN substring(head, 17, 8) IN ('68656963', '68656978', '6D696631') THEN 'heic' WHEN substring(head, 17, 8) IN ('61766966', '61766973') THEN 'avif' WHEN substring(head, 17, 8) = '71742020' THEN 'mov' ELSE 'mp4' END ELSE 'unknown' END AS format FROM (VALUES " + ", ".join(f"({i}, '{h}')" for i, h in HEADS) + ") AS t(case_id, head)",
     "stream_score_documents": TEXT_SQL["text_score"],
-    "known_bad_versions_join": "SELECT kind, name, used FROM (VALUES ('npm', 'event-stream', '3.3.6'), ('npm', 'colors', '1.4.2'), ('pypi', 'request', '9.9')) AS t(kind, name, used)",
+    "known_bad_versions_join": f"SELECT u.kind, u.name, used FROM (VALUES {_USED}) AS u(kind, name, used) JOIN (VALUES {_BAD}) AS b(kind, name, version) ON u.kind = b.kind AND u.name = b.name AND (version = '*' OR version = used)",
 }

@@ -87,6 +87,19 @@ _CONCRETE = r"len(list_filter(cased, lambda x: regexp_matches(x, '\p{Nd}') OR re
 _SPECIFICITY = f"CASE WHEN word_count > 0 THEN least(({_CONCRETE} + " + " + ".join(f"len(regexp_extract_all(raw, '{p}'))" for p in _SPECIFIC_SQL) + ") / word_count, 1.0) ELSE 0 END"
 
 
+_CONTRAST_SQL = (
+    rf"(?i)\b(?:it'?s|that'?s|this is|we'?re|they'?re|you'?re)?{_WS}*not{_WS}+(?:just|only|merely|simply)\b[^.!?]{{1,80}}?(?:,{_WS}*(?:it'?s|it{_WS}+is|that'?s|that{_WS}+is|but rather|but)\b|{_WS}-{_WS}|;{_WS}*(?:it'?s|it{_WS}+is)\b)",
+    rf"(?i)\bnot{_WS}+[^.!?,]{{2,40}}{_WS}*-{_WS}*(?:it'?s|but|rather)\b",
+)
+_CONTRAST = "(" + " + ".join(f"len(regexp_extract_all(norm, {_q(p)}))" for p in _CONTRAST_SQL) + ")"
+_CLAIM_SQL = r"(?i)\b(?:" + "|".join(t.replace("-", r"\-") for t in (*L.CLAIM_VERBS, *L.UNSUPPORTED_CLAIMS)) + r")\b"
+_EVIDENCE_SQL = rf"\b\p{{Nd}}|https?://|CVE-\p{{Nd}}{{4}}-\p{{Nd}}|doi:|\[\p{{Nd}}+\]|\([A-Z][a-z]+,{_WS}*\p{{Nd}}{{4}}\)|\b[A-Z][a-zA-Z]+(?:{_WS}[A-Z][a-zA-Z]+)*{_WS}(?:Inc|LLC|Ltd|Corp|Co|GmbH|University|Institute|Foundation|Labs?|Agency|Department|Commission|Association|Consortium)\b"
+_BARE = f"len(list_filter(range(1, len(sents) + 1), lambda i: regexp_matches(sents[i], {_q(_CLAIM_SQL)}) AND NOT regexp_matches(concat_ws(' ', sents[i], sents[i + 1]), {_q(_EVIDENCE_SQL)})))"
+_HAS_SCRIPT = lambda x: f"regexp_matches(x, '{x}')::INT"
+_SCRIPTS = rf"{_HAS_SCRIPT('[A-Za-zÀ-ÖØ-öø-ɏ]')} + {_HAS_SCRIPT(r'[\x{370}-\x{3FF}\x{1F00}-\x{1FFF}]')} + {_HAS_SCRIPT(r'[\x{400}-\x{52F}]')} > 1"
+_EVASIONS = f"(length(raw) - length(translate(raw, {_q(''.join(map(chr, L.INVISIBLE + L.BIDI)))}, '')) + len(list_filter(regexp_extract_all(raw, '{_W}+'), lambda x: {_SCRIPTS})))"
+
+
 def _act(n: str) -> str:
     return f"(CASE WHEN {n} <= 1 THEN 1.0 ELSE least(1 + 0.5 * ({n} - 1), 4.0) END)"
 
@@ -95,10 +108,12 @@ def _signals(profile: str = "general") -> dict[str, tuple[str, str, float]]:
     """For each signal: (condition, count, weight)."""
     term = lambda t: f"len(list_filter(words, lambda x: x IN {_in(t)}))"
     lexical = {"vague_language": term(L.VAGUE_TERMS), "unsupported_claims": term(L.UNSUPPORTED_CLAIMS), "unsupported_claim_phrases": _phrases(L.UNSUPPORTED_PHRASES), "filler_phrases": _phrases(L.FILLER_PHRASES), "template_or_ai_scars": _phrases(L.TEMPLATE_PHRASES), "seo_or_clickbait_phrases": _phrases(L.SEO_PHRASES), "frontier_rhetoric": _phrases(L.RHETORIC_PHRASES)}
-    # what the corpus never fires (evasion, contrast, claims of sentences) is held against fixtures instead
     conditions = {
         "transition_word_stuffing": ("word_count >= 100 AND transition_count >= 4 AND transition_count / word_count >= 0.015", "transition_count"),
         "em_dash_overuse": ("dash_count >= 4 AND word_count >= 60 AND dash_count / greatest(word_count / 100, 1.0) >= 1", "dash_count"),
+        "evasion_obfuscation": ("evasions > 0", "evasions"),
+        "contrastive_negation": ("word_count >= 40 AND contrast_count >= 2", "contrast_count"),
+        "unsupported_claim_sentences": ("word_count >= 50 AND bare_claims >= greatest(2, sentence_count // 4)", "bare_claims"),
         "rule_of_three": ("word_count >= 60 AND triad_count >= 3", "triad_count"),
         "over_structuring": ("word_count >= 80 AND (headers >= 4)::INT + (bold_runs >= 6)::INT + (emoji_bullets >= 3)::INT >= 2", "headers + bold_runs + emoji_bullets"),
         "repetitive_terms": ("repetition_count > 0", "repetition_count"),
@@ -127,7 +142,7 @@ def _scored(source: str = "documents", keys: str = "doc_id, lang, source", profi
     n = " + ".join(f"({c})::INT" for c, _, _ in s.values())
     return f"""{_base(source, keys)},
 tri AS (SELECT *, regexp_extract_all(norm, '{_TRIAD}', 1) AS a1, regexp_extract_all(norm, '{_TRIAD}', 2) AS a2, regexp_extract_all(norm, '{_TRIAD}', 3) AS a3 FROM m),
-full_m AS (SELECT *, {_TRIADS} AS triad_count, {_SPECIFICITY} AS specificity_ratio FROM tri),
+full_m AS (SELECT *, {_TRIADS} AS triad_count, {_SPECIFICITY} AS specificity_ratio, {_CONTRAST} AS contrast_count, {_BARE} AS bare_claims, {_EVASIONS} AS evasions FROM tri),
 raw_score AS (SELECT *, CASE WHEN word_count > 0 THEN least({total} + least(word_count / 800, 0.08), 1.0) ELSE 0 END AS score_raw, CAST({n} AS BIGINT) AS n_signals FROM full_m),
 scored AS (SELECT *, CASE WHEN round(score_raw, 3) >= 0.6 THEN 'high' WHEN round(score_raw, 3) >= 0.3 THEN 'moderate' ELSE 'low' END AS risk FROM raw_score)"""
 
@@ -187,6 +202,48 @@ EVASIVE = (
 )
 
 
+_SYLLABLES = ("ba", "de", "fi", "go", "lu", "ma", "ne", "po", "ra", "si")
+
+
+def _plain(n: int, start: int = 0) -> list[str]:
+    """``n`` distinct words of six letters."""
+    return ["".join(_SYLLABLES[(start + i) // 10**k % 10] for k in range(3)) for i in range(n)]
+
+
+def _said(words: list[str], lengths=(7, 13, 9, 17, 5, 11)) -> str:
+    """Words as sentences of varied lengths."""
+    out, at, k = [], 0, 0
+    while at < len(words):
+        n = lengths[k % len(lengths)]
+        out.append(" ".join(words[at : at + n]) + ".")
+        at, k = at + n, k + 1
+    return " ".join(out)
+
+
+def _thresholds() -> list[tuple[int, str]]:
+    """Texts just below and at the thresholds of every signal that isn't a mere list of phrases."""
+    with_extra = lambda n, extra: _said([*extra, *_plain(n - len(extra))])
+    texts = [
+        *(with_extra(n, L.TRANSITIONS[:k]) for n, k in ((100, 4), (100, 3), (99, 4))),
+        *(_said(_plain(n)) + " —" * k for n, k in ((60, 4), (60, 3), (59, 4))),
+        *(_said(_plain(n - 4 * k)) + " Not only lume, but rano." * k for n, k in ((40, 2), (40, 1), (38, 2))),
+        *(_said(_plain(n)) + " Lume, rano, and sibo." * k for n, k in ((60, 3), (60, 2))),
+        *("\n".join(["# Lume"] * h + ["**rano**"] * b + [_said(_plain(80))]) for h, b in ((4, 6), (3, 6), (4, 5))),
+        *(_said(_plain(2 * n), (n,)) for n in (29, 28)),
+        *(_said(_plain(84), k) for k in ((12,), (2, 22, 4, 30))),
+        *(_said([*_plain(40 - k), *["7"] * k]) for k in (0, 3, 4)),
+        _said(_plain(39)),
+        *(_said([*L.CLAIM_VERBS[:k], *_plain(60 - k)]) + " www.lume.example" * w for k, w in ((2, 0), (1, 0), (2, 1), (2, 2))),
+        *(" ".join(f"{v} {_said(_plain(24, 30 * i))}" for i, v in enumerate(verbs)) for verbs in (L.CLAIM_VERBS[:3], L.CLAIM_VERBS[:1], ("improve 7", "reduce 8", "solve 9"))),
+        *(_said([*["fibago"] * k, *_plain(40 - k, 500)]) for k in (5, 4, 3)),
+        *(" ".join(["Lume rano " + " ".join(_plain(5, 9 * i)) + "." for i in range(k)] + [" ".join(_plain(6, 100 + 9 * i)) + "." for i in range(5 - k)]) for k in (3, 2)),
+        *(_said(_plain(30) * k) for k in (2, 3, 4)),
+        *(_said(_plain(v) * 5) for v in (22, 23)),
+        *(_said(_plain(80)) + x for x in (" lu\u200bme", " l\u043eme", " \u202elume", "")),
+    ]
+    return list(enumerate(texts, 100))
+
+
 def _values(rows) -> str:
     return "(VALUES " + ", ".join(f"({i}, {_q(t)})" for i, t in rows) + ") AS f(case_id, text)"
 
@@ -213,6 +270,17 @@ def score_fixture(spark: SparkSession, d: str) -> DataFrame:
     return out.select("case_id", (F.round("score_raw", 6) + 0.0).alias("score_raw"), "risk", F.size("signals").cast("long").alias("n_signals"))
 
 
+def signals_fixture(spark: SparkSession, d: str) -> DataFrame:
+    """Every signal that fires on texts at the thresholds, with its count."""
+    out = scoring.score_text(_fixture(spark, [*FIXTURE, *_thresholds()])).select("case_id", F.explode_outer("signals").alias("s"))
+    return out.filter("s IS NOT NULL").select("case_id", F.col("s.name").alias("name"), F.col("s.count").alias("hits"))
+
+
+def claims_fixture(spark: SparkSession, d: str) -> DataFrame:
+    m = T.with_metrics(T.with_text(_fixture(spark, [*FIXTURE, *_thresholds()])))
+    return m.select("case_id", _r("claim_density"), "bare_claims", "contrast_count")
+
+
 def text_score(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("doc_id", (F.round("score_raw", 6) + 0.0).alias("score_raw"), "risk", F.size("signals").cast("long").alias("n_signals"))
 
@@ -271,6 +339,8 @@ QUERIES = {
     "text_lexicon_fixture": lexicon_fixture,
     "text_evasion_fixture": evasion_fixture,
     "text_score_fixture": score_fixture,
+    "text_signals_fixture": signals_fixture,
+    "text_claims_fixture": claims_fixture,
     "text_score": text_score,
     "text_dimensions": text_dimensions,
     "text_signals": signal_rows,
@@ -281,6 +351,24 @@ QUERIES = {
     "corpus_duplicates": corpus_duplicates,
 }
 
+def _fired(keys: str) -> str:
+    """A row for each signal that fires: ``keys``, name, n."""
+    items = ", ".join(f"{{'name': '{k}', 'n': CASE WHEN {c} THEN CAST({n} AS BIGINT) END}}" for k, (c, n, _) in _signals().items())
+    return f"SELECT {keys}, s.name AS name, s.n AS n FROM (SELECT {keys}, unnest([{items}]) AS s FROM scored) WHERE s.n IS NOT NULL"
+
+
+def _dimension(name: str) -> str:
+    """A category's unrounded sum over its base."""
+    base = {
+        "evidence": "greatest(0.0, 0.20 - least(round(CASE WHEN word_count > 0 THEN (link_count + number_count + citation_count) / word_count ELSE 0 END, 3), 0.20))",
+        "specificity": "greatest(0.0, 0.20 - least(round(specificity_ratio, 3), 0.20))",
+        "originality": "least(round(repetition_density, 3) * 1.2, 0.35)",
+    }.get(name, "0.0")
+    parts = [f"(CASE WHEN {c} THEN {w} * {_act(n)} ELSE 0 END)" for k, (c, n, w) in _signals().items() if L.SIGNALS[k][0] == name]
+    return " + ".join([f"CAST({base} AS DOUBLE)", *parts])
+
+
+_DIMENSIONS = ", ".join(f"{{'name': '{k}', 'raw': round({_dimension(k)}, 9)}}" for k in L.DIMENSIONS)
 _FOLDED = {"invisible_chars": "".join(map(chr, L.INVISIBLE)), "bidi_controls": "".join(map(chr, L.BIDI)), "exotic_spaces": "".join(map(chr, L.EXOTIC_SPACES)), "confusable_chars": "".join(chr(x) for x, _ in L.HOMOGLYPHS)}
 _HAS = lambda x: f"regexp_matches(x, '{x}')::INT"
 _MIXED = rf"CAST(len(list_filter(regexp_extract_all(text, '{_W}+'), lambda x: {_HAS('[A-Za-zÀ-ÖØ-öø-ɏ]')} + {_HAS(r'[\x{370}-\x{3FF}\x{1F00}-\x{1FFF}]')} + {_HAS(r'[\x{400}-\x{52F}]')} > 1)) AS BIGINT)"
@@ -301,6 +389,10 @@ ORACLE_SQL = {
     "text_evasion_fixture": "SELECT case_id, " + ", ".join(f"length(text) - length(translate(text, {_q(v)}, '')) AS {k}" for k, v in _FOLDED.items()) + f", {_MIXED} AS mixed_script_words FROM {_values(EVASIVE)}",
     "text_score_fixture": f"WITH {_scored(_values(FIXTURE), 'case_id')} SELECT case_id, round(score_raw, 6) + 0.0 AS score_raw, risk, n_signals FROM scored",
     "text_score": f"WITH {_scored()} SELECT doc_id, round(score_raw, 6) + 0.0 AS score_raw, risk, n_signals FROM scored",
+    "text_signals_fixture": f"WITH {_scored(_values([*FIXTURE, *_thresholds()]), 'case_id')} SELECT case_id, name, n AS hits FROM ({_fired('case_id')})",
+    "text_claims_fixture": f"WITH {_scored(_values([*FIXTURE, *_thresholds()]), 'case_id')} SELECT case_id, round(CASE WHEN word_count > 0 THEN claim_count / word_count ELSE 0 END, 6) + 0.0 AS claim_density, bare_claims, contrast_count FROM scored",
+    "text_signals": f"WITH {_scored()} SELECT name, count(*) AS docs, CAST(sum(n) AS BIGINT) AS hits FROM ({_fired('doc_id')}) GROUP BY name",
+    "text_dimensions": f"WITH {_scored()} SELECT doc_id, x.name AS dimension, round(least(x.raw, 1.0), 3) AS score, CASE WHEN x.raw >= 0.45 THEN 'elevated' WHEN x.raw >= 0.18 THEN 'review' ELSE 'clean' END AS status FROM (SELECT doc_id, unnest([{_DIMENSIONS}]) AS x FROM scored)",
     "text_profile_compare": "WITH all_p AS (" + " UNION ALL ".join(f"SELECT '{p}' AS profile, score_raw FROM (WITH {_scored(profile=p)} SELECT score_raw FROM scored)" for p in L.PROFILES) + ") SELECT profile, count(*) AS docs, round(avg(score_raw), 4) AS mean_score, round(max(score_raw), 6) AS max_score FROM all_p GROUP BY profile",
     "risk_by_lang": f"WITH {_scored()} SELECT lang, risk, count(*) AS docs, round(avg(score_raw), 4) AS mean_score FROM scored GROUP BY ALL",
     "risk_grouping_sets": f"WITH {_scored()} SELECT lang, source, count(*) AS docs, count(*) FILTER (WHERE risk = 'high') AS high FROM scored GROUP BY GROUPING SETS ((lang), (source), ())",

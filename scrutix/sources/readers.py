@@ -90,6 +90,40 @@ def archive_members(name: str, data: bytes, max_entries: int = MAX_ENTRIES, max_
                     yield i.name, take(t.extractfile(i))
 
 
+MAX_MEDIA = 64 << 20
+
+
+def media_files(spark: SparkSession, path: str, max_bytes: int = MAX_MEDIA) -> DataFrame:
+    """``(path, length, content, refused)``: an empty or too large file has its reason and no content.
+
+    Spark's listing of a folder leaves empty files out.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = None if "*" in path else at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    if status is not None and status.isFile() and status.getLen() == 0:
+        return spark.sql("SELECT CAST(NULL AS STRING) AS path, 0L AS length, CAST(NULL AS BINARY) AS content, 'empty file' AS refused").withColumn("path", F.lit(path))
+    d = spark.read.format("binaryFile").load(path)
+    why = F.when(F.col("length") > max_bytes, "too large")
+    return d.select("path", "length", F.when(why.isNull(), F.col("content")).alias("content"), why.alias("refused"))
+
+
+def open_target(spark: SparkSession, target: str) -> tuple[str, DataFrame | None]:
+    """What a target is (``remote``, ``archive``, ``file`` or ``tree``) and its files as a ``binaryFile`` table.
+
+    Remote repositories are judged by their url and not fetched here.
+    """
+    if "://" in target and urlsplit(target).scheme in ("http", "https", "ssh", "git"):
+        if not clone_url_allowed(target):
+            raise ValueError(f"this repository may not be fetched: {target[:120]}")
+        return "remote", None
+    if target.lower().endswith((".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")):
+        return "archive", archive_files(spark.read.format("binaryFile").load(target))
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(target)
+    single = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    return "file" if single else "tree", spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
+
+
 def archive_files(archives: DataFrame) -> DataFrame:
     """``(scan_id, path, content, error)`` from a ``binaryFile`` table of archives.
 

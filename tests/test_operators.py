@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scrutix.operators import code_scan, evaluation, guard, redaction, web
+from scrutix.functions import lexicons as L
+from scrutix.operators import code_scan, evaluation, guard, models, redaction, scoring, web
 from scrutix.plans import other_queries as Q
 from scrutix.streaming import limiter
 
@@ -113,3 +114,65 @@ def test_limiter_takes_null_for_a_key(spark):
     df = spark.createDataFrame([(i, k, i) for i, k in enumerate([None, big, None, big, None, big - 1])], "event_id long, user_id long, t long").withColumn("ts", F.timestamp_micros(F.col("t") * 1_000_000))
     got = {r.event_id: (r.user_id, r.allowed) for r in limiter.rate_limit(df.coalesce(1), limit=2, window=20.0).collect()}
     assert got == {0: (None, True), 1: (big, True), 2: (None, True), 3: (big, True), 4: (None, False), 5: (big - 1, True)}
+
+
+def test_newton_reaches_the_descents_optimum(spark):
+    random.seed(4)
+    rows = [(float(random.randrange(5)), float(random.randrange(3)), 0) for _ in range(400)]
+    rows = [(a, b, int(random.random() < 1 / (1 + 2.7 ** (2.0 - a + 0.5 * b)))) for a, b, _ in rows]
+    df = spark.createDataFrame(rows, "a double, b double, label int")
+    one = evaluation.fit_logistic(df, ["a", "b"], l2=2.0, rate=0.5, steps=4000)
+    two = evaluation.fit_logistic(df, ["a", "b"], l2=2.0, limit=3)
+    assert two["bias"] == pytest.approx(one["bias"], abs=1e-4) and two["trained_on"] == 400
+    assert all(two["weights"][k] == pytest.approx(one["weights"][k], abs=1e-4) for k in "ab")
+
+
+def test_platt_improves_calibration(spark):
+    random.seed(5)
+    rows = [(0.4 + 0.02 * i, int(random.random() < i / 10)) for i in range(11) for _ in range(40)]
+    got = evaluation.fit_platt(scored(spark, *zip(*rows)))
+    assert got["n"] == 440 and got["ece_after"] < got["ece_before"] and got["brier_after"] < got["brier_before"]
+    assert got["model"]["weights"]["score"] > 0
+
+
+def test_weights_are_learned_and_read_back(spark, tmp_path):
+    texts = [("Our seamless, robust and revolutionary synergy is guaranteed.", 1), ("Studies show it is clear that experts agree, always.", 1), ("The relay failed at 03:14 and came back.", 0), ("We walked home along the river.", 0)] * 3
+    t = scoring.score_text(spark.createDataFrame(texts, "text string, label int"))
+    got = evaluation.learn_weights(t, l2=2.0)
+    assert got["trained_on"] == 12 and got["train_auc"] == 1.0 and got["weights"]["unsupported_claims"] > 0 and set(got["weights"]) <= set(L.SIGNALS)
+    evaluation.write_weights(spark, got, str(tmp_path / "w.json"))
+    back = evaluation.load_weights((tmp_path / "w.json").read_text())
+    assert back["weights"] == got["weights"]
+    again = scoring.score_text(spark.createDataFrame(texts, "text string, label int"), weights=back).select("score_raw", "label").collect()
+    assert min(r[0] for r in again if r[1]) > max(r[0] for r in again if not r[1])
+    with pytest.raises(ValueError):
+        evaluation.learn_weights(scoring.score_text(spark.createDataFrame([("", 1), ("", 0)], "text string, label int")))
+
+
+def test_report_counts_skipped_rows(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.2, 0), (None, 1)], "score double, label int")
+    r = evaluation.report(df).first()
+    assert (r.scored, r.positive, r.negative, r.skipped, r.auc, r.tpr_at_10pct) == (2, 1, 1, 1, 1.0, 1.0)
+
+
+def test_safe_urls(spark):
+    urls = ["b\u00fccher.example/a?b", "http://EXAMPLE.org:80/X", "https://\u0440aypal.example/", "ftp://x.org", "http://" + "\u00e9" * 70 + ".org", None]
+    got = [(r.refused, r.safe_url) for r in web.with_safe_url(spark.createDataFrame([(u,) for u in urls], "url string").coalesce(1)).collect()]
+    assert got == [(None, "https://xn--bcher-kva.example/a?b"), (None, "http://example.org:80/X"), (None, "https://xn--aypal-uye.example/"), ("scheme", None), ("host", None), ("empty", None)]
+
+
+def test_judgements_are_clamped(spark):
+    replies = ['so: {"verdict": "TRUE_POSITIVE", "confidence": 7, "reason": "password = hunter2hunter2"}', '{"verdict": "sure", "confidence": -1}', '{"reason": "' + "x" * 900 + '"}', "nothing", None]
+    got = [r.judgement for r in models.judged(spark.createDataFrame([(x,) for x in replies], "reply string").coalesce(1)).collect()]
+    assert (got[0].verdict, got[0].confidence) == ("true_positive", 1.0) and "hunter2" not in got[0].reason
+    assert (got[1].verdict, got[1].confidence, got[1].reason) == ("uncertain", 0.0, "") and (got[2].confidence, len(got[2].reason)) == (0.5, 600)
+    assert got[3] is None and got[4] is None
+
+
+def test_findings_folded_in_and_filtered(spark):
+    files = Q._files(spark)
+    found = code_scan.findings(files)
+    more = spark.createDataFrame([("b", "clean.py", "model.backdoor", "critical", "high", "backdoor", 1, 1, "return a + b")], code_scan.FINDING)
+    both, scores = code_scan.fold_in(found, more, files)
+    assert both.count() == found.count() + 1 and {r.scan_id: r.risk for r in scores.collect()}["b"] == "high"
+    assert [r.rule_id for r in code_scan.finding_filter(both, severity="critical", category="backdoor", text="CLEAN").collect()] == ["model.backdoor"]

@@ -90,3 +90,59 @@ def test_model_seams(spark):
     assert spark.range(1).select(models.perplexity_likelihood(F.lit(60.0))).first()[0] == 0.5
     assert models.first_json('text {"a": 1} [2]') == '{"a": 1}' and models.first_json("[1, 2]") == "[1, 2]" and models.first_json("none {") is None
     assert models.with_model(spark.range(1)).first().model.available is False
+
+
+def _tree(tmp_path):
+    for name, body in {"a.py": "x = 1\n" * 10, "b.py": "y = 2\n" * 100, "c.py": "z\n", "d.png": "no", "e.py": "", "f.txt": "t\n", "sub/g.py": "g\n", "node_modules/h.py": "h\n"}.items():
+        f = tmp_path / name
+        f.parent.mkdir(exist_ok=True)
+        f.write_text(body)
+    (tmp_path / "z.py").write_bytes(b"\0\0\0")
+    return str(tmp_path)
+
+
+def walked(spark, root, **options):
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return {r.path: r.reason for r in code_scan.walk(listed, root, **options).collect()}
+
+
+def test_walk_limits(spark, tmp_path):
+    root = _tree(tmp_path)
+    plain = {"a.py": None, "b.py": None, "c.py": None, "d.png": "binary extension", "f.txt": None, "sub/g.py": None, "z.py": "binary content"}
+    assert walked(spark, root) == plain
+    assert walked(spark, root, max_total=70) == plain | {"b.py": "total byte cap reached"}  # smaller ones still fit
+    assert walked(spark, root, max_file=100) == plain | {"b.py": "too large"}
+    got = walked(spark, root, max_files=2)
+    assert [k for k, v in got.items() if v is None] == ["a.py", "b.py"] and got["sub/g.py"] == "max file count reached"
+    assert walked(spark, root, include=("*.txt",)) == {"f.txt": None}
+    assert walked(spark, root, exclude=("*.py",)) == {"a.py": "exclude_globs", "b.py": "exclude_globs", "c.py": "exclude_globs", "d.png": "binary extension", "f.txt": None, "sub/g.py": "exclude_globs", "z.py": "exclude_globs"}
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    stats = {r.reason: (r.files, r.examples) for r in code_scan.walk_stats(code_scan.walk(listed, root)).collect()}
+    assert stats[None] == (5, []) and stats["binary content"] == (1, ["z.py"])
+    assert code_scan.contained(root + "/sub", root) and not code_scan.contained(root + "/..", root)
+
+
+def test_targets(spark, tmp_path):
+    root = _tree(tmp_path)
+    kind, listed = readers.open_target(spark, root + "/a.py")
+    assert kind == "file" and {r.path for r in code_scan.files_from_binary(listed, root + "/a.py").collect()} == {"a.py"}
+    assert readers.open_target(spark, root)[0] == "tree" and readers.open_target(spark, "https://github.com/a/b")[0] == "remote"
+    with pytest.raises(ValueError):
+        readers.open_target(spark, "https://example.org/a/b")
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "empty.png").write_bytes(b"")
+    (tmp_path / "m" / "big.png").write_bytes(b"x" * 100)
+    assert [r.refused for r in readers.media_files(spark, root + "/m", max_bytes=50).collect()] == ["too large"]
+    assert [r.refused for r in readers.media_files(spark, root + "/m/empty.png").collect()] == ["empty file"]
+
+
+def test_evaluation_commands(spark, tmp_path, capsys):
+    f = tmp_path / "c.jsonl"
+    f.write_text("".join(f'{{"text": "Seamless robust synergy, guaranteed {i}.", "label": "ai", "domain": "marketing"}}\n{{"text": "We walked home at {i}.", "label": "human"}}\n' for i in range(4)))
+    assert cli.main(["learn-weights", str(f), "--out", str(tmp_path / "w.json")]) == 0 and readers is not None
+    assert "unsupported_claims" in (tmp_path / "w.json").read_text()
+    assert cli.main(["calibrate", str(f)]) == 0 and "ece_after" in capsys.readouterr().out
+    assert cli.main(["report", str(f)]) == 0 and '"auc":1.0' in capsys.readouterr().out
+    assert cli.main(["inline", "A seamless text."]) == 0 and '"alert":false' in capsys.readouterr().out
+    assert cli.main(["report", str(tmp_path / "w.json")]) == 2
+    assert cli.main(["scan", str(tmp_path), "--skipped"]) == 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrutix.functions import lexicons as L
 from scrutix.functions import text as T
 from scrutix.operators import scoring
+from scrutix.plans import text_queries
 from scrutix.sources.tables import documents_of
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +87,26 @@ def test_nfkc_reaches_only_rows_that_need_it(spark):
 def test_activation(spark):
     df = spark.createDataFrame([(0,), (1,), (3,), (100,)], "n int")
     assert [r[0] for r in df.select(scoring.activation(F.col("n"))).collect()] == [1.0, 1.0, 2.0, 4.0]
+
+
+def test_plans_stay_small(spark):
+    """Texts, statistics and signals are written into a plan once, whatever is asked of the result."""
+    out = scoring.score_text(spark.createDataFrame([("a", 1)], "text string, risk_2 int"))
+    for df in (out, out.filter("risk = 'high' AND alert"), out.select(F.explode("dimensions").alias("d")).filter("d.status = 'review'"), out.filter("size(signals) > 1").groupBy("risk").count()):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 400_000 and plan.count("Generate inline") <= 4
+
+
+def test_every_signal_fires_on_the_thresholds(spark):
+    rows = text_queries.signals_fixture(spark, "").collect()
+    assert {r["name"] for r in rows} == set(L.SIGNALS)
+
+
+def test_guards_cover_what_they_guard():
+    import re
+    import sys
+
+    usual = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", T.USUAL))
+    assert not usual.search(re.sub("[\x00-\x7f]", "", T._FOLD_FROM + T._STRIP + "".join(L.CURLY) + "—–"))
+    spans = re.findall(r"\\x\{([0-9A-F]+)\}-\\x\{([0-9A-F]+)\}", T._unstable_class())
+    assert not any(usual.match(chr(cp)) for a, b in spans for cp in range(int(a, 16), min(int(b, 16), sys.maxunicode) + 1))
