@@ -2,49 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from scrutix.sources.tables import discard, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only on one machine (a local master, as in tests) a temporary folder
-    replaces it, which is then used for ``checkpoint()`` too; on a cluster a
-    missing setting is an error.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("scrutix.shared.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="scrutix-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("scrutix.shared.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs at most the tasks that were
-    running, never the finished table.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._table = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing reads any more."""
-    for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t._table)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["arrow_rows", "discard", "materialize", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -640,3 +640,62 @@ def test_mix_without_details_is_in_block_order(spark):
     assert all(v == sorted(v) for v in files.values()) and sum(map(len, files.values())) == len(rows)
     runs = sorted((min(v), max(v)) for v in files.values())
     assert all(a[1] <= b[0] for a, b in zip(runs, runs[1:]))
+
+
+# --- awkward tables ----------------------------------------------------------
+
+
+def test_mix_replaces_only_its_own_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "mine", "x"), (2, None, "t", "mine", "x")], "doc_id long, text string, source string, epoch string, _h string")
+    out = mixing.mix(df)
+    assert {r._h for r in out.collect()} == {"x"} and dict(out.dtypes)["epoch"] == "bigint"
+    assert {r.epoch for r in mixing.mix(df, details=False).collect()} == {"mine"}
+
+
+def test_op4_long_texts_and_a_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|") for t in range(4000)] + [(2, 0, "assistant", LONG)]
+    got = {r.conv_id: r for r in chat.op4_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for conv in (1, 2):
+        said = "".join(x for c, _, role, x in rows if c == conv and role == "assistant")
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_op10_labels_of_any_type(spark):
+    rows = [(1, [1.0, 0.0], "a b"), (2, [1.0, 0.001], "a b"), (3, [1.0, 0.0], "c"), (4, [1.0, 0.0], None), (5, [2.0, 0.0], "a b"), (6, [1e-300, 0.0], "c")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.op10_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (1, 3), 4: (0, 4), 5: (2, 1), 6: (1, 3)}
+
+
+def test_pairs_at_the_threshold(spark):
+    """Cosines of exactly the threshold link, and the next double below doesn't."""
+    a = np.zeros(40)
+    a[0] = 25.0
+    b = np.zeros(40)
+    b[0], b[1:40:2] = 24.5, (25.0**2 - 24.5**2) ** 0.5 / 20**0.5
+    r = np.linalg.qr(np.random.default_rng(1).normal(size=(40, 40)))[0]
+    x, y = a[None] @ r, b[None] @ r
+    for exact, want in ((lambda i, j: np.longdouble("0.98"), 1), (lambda i, j: np.longdouble("0.98") - np.longdouble("1e-17"), 0)):
+        u, v = (m / np.sqrt((m * m).sum()) for m in (x, y))
+        assert abs((u @ v.T)[0, 0] - 0.98) < 1e-9
+        assert len(embeddings.links_of(u, v, np.longdouble("0.98"), exact)[0]) == want
+
+
+def test_record_ids_are_unique(spark):
+    df = spark.createDataFrame([(7, "u", "<a>")] * 50 + [(8, "u", "<a>")], "page_id long, url string, html string").repartition(4)
+    once = materialize(warc.write_archives(df), "test-ids")
+    fresh = warc.read_headers(materialize(warc.deduplicate(once), "test-ids")).collect()
+    assert len({r.record_id for r in fresh}) == 51 and sum(r.record_type == "response" for r in fresh) == 1
+    target = next(r.record_id for r in fresh if r.record_type == "response")
+    assert {r.refers_to_record for r in fresh if r.record_type == "revisit"} == {target} and target not in {r.record_id for r in fresh if r.record_type == "revisit"}
+
+
+def test_members_split_anywhere():
+    parts = [warc.record("response", i, "u", bytes(random.Random(i).randrange(256) for _ in range(n)), n, warc.digest_of(b"")) for i, n in enumerate((0, 1, 5000, 40_000, 3))]
+    old = warc.FEED
+    try:
+        for warc.FEED in (1, 7, 100, old):
+            assert [len(b) for _, b in warc.records(b"".join(parts))] == [0, 1, 5000, 40_000, 3]
+    finally:
+        warc.FEED = old
+    with pytest.raises(ValueError):
+        list(warc.records(b"".join(parts)[:-20]))
