@@ -33,7 +33,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     running, never the finished table.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table = path
     return out
