@@ -185,10 +185,10 @@ def bucket_of(doc_id) -> "F.Column":
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts for training, smallest hash of the id first.
+def sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[str, int]]:
+    """At most ``rows`` labelled texts of at most ``chars`` characters for training, smallest hash of the id first.
 
-    The limit is the documented bound of the fit; scoring has none.  The
+    The limits are the documented bounds of the fit; scoring has none.  The
     sample's ids (a few KB) select the texts, so labels don't meet documents in
     a large join.
     """
@@ -199,7 +199,7 @@ def sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> l
         .orderBy(hashed, "doc_id", "_y")
         .limit(rows)
     )
-    found = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).join(F.broadcast(ids), "doc_id")
+    found = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= chars)).join(F.broadcast(ids), "doc_id")
     got = found.orderBy(hashed, "text", "_y").limit(rows).select("text", "_y").collect()
     return [(r[0], r[1]) for r in got]
 
@@ -229,9 +229,9 @@ def classify(documents: DataFrame, net: Net, columns: list[str] | None = None, n
     return source.mapInArrow(run, schema)
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Net:
-    rows = sample(documents, labels)
-    return train([t for t, _ in rows], [y for _, y in rows])
+def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Net:
+    got = sample(documents, labels, rows, chars)
+    return train([t for t, _ in got], [y for _, y in got])
 
 
 def op7_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

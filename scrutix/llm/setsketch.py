@@ -236,7 +236,9 @@ def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     columns = ["a", "b", "cls_a", "cls_b", "text_a", "text_b"]
-    return both.select(*columns).mapInArrow(arrow_rows(one, schema, columns), "a long, b long")
+    links = materialize(both.select(*columns).mapInArrow(arrow_rows(one, schema, columns), "a long, b long"), "near-links")
+    discard(texts)
+    return links
 
 
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -259,9 +261,10 @@ def _groups(rest: DataFrame) -> DataFrame:
     buckets hold much the same nodes.  Where that takes more than
     ``GROUP`` rows, each bucket stays a group of its own.
     """
-    large = rest.groupBy("big").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("big", F.lit(True).alias("large"))
+    large = materialize(rest.groupBy("big").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("big", F.lit(True).alias("large")), "near-large")
     g = F.when(F.col("large"), F.concat(F.lit("k"), "key")).otherwise(F.concat(F.lit("c"), "big"))
-    return rest.join(large, "big", "left").select(g.alias("g"), "big", "node", "c").distinct()
+    # grouped by its own key, so a large component isn't one task's
+    return rest.join(large, "big", "left").groupBy(g.alias("g"), "node").agg(F.first("big").alias("big"), F.first("c").alias("c"))
 
 
 def _packed(batches):
@@ -366,7 +369,9 @@ def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, perce
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return materialize(met.select("rows_x", "rows_y").mapInArrow(run, "a long, b long"), "near-across")
+    found = materialize(met.select("rows_x", "rows_y").mapInArrow(run, "a long, b long"), "near-across")
+    discard(nodes, texts, rows)
+    return found
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -380,7 +385,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     members = materialize(keyed.join(shared, "key"), "near-members")
     star = materialize(members.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-star")
     maybe = materialize(likely(star, reps, percent), "near-likely")
-    links = materialize(confirm(maybe, documents, k, percent), "near-links")
+    links = confirm(maybe, documents, k, percent)
     labels = connected_components(links)
     discard(star, maybe, links)
 
@@ -393,7 +398,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     node = label.join(joins.select(F.col("node").alias("_c"), F.col("component").alias("_top")), "_c", "left").select("cls", F.coalesce("_top", "_c").alias("_c"))
     out = all_rows.select("doc_id", "cls", "n_shingles").join(node, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = materialize(out, "near-result")
+    discard(all_rows, reps)
+    return out
 
 
 def op6_setsketch(documents: DataFrame) -> DataFrame:
