@@ -289,10 +289,14 @@ def _unpacked(blob: bytes) -> list[dict]:
 
 
 def _tiles(rows: DataFrame, parts: str) -> DataFrame:
-    """``(g, part, rows)``: the rows of each group in tiles, by hash of the node."""
+    """``(g, part, rows)``: the rows of each group in tiles, by hash of the node.
+
+    Rows meet by their tile alone, so a large group is spread over its tiles.
+    """
     part = F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
-    grouped = rows.groupBy("g", part.alias("part")).agg(F.collect_list(F.struct("node", "c", "outside", "n_shingles", "regs", "cls", "text")).alias("rows"))
-    return grouped.mapInArrow(_packed, "g string, part int, rows binary")
+    tile = F.concat_ws(":", part, "g").alias("tile")
+    grouped = rows.withColumn("part", part).groupBy(tile).agg(F.first("g").alias("g"), F.first("part").alias("part"), F.collect_list(F.struct("node", "c", "outside", "n_shingles", "regs", "cls", "text")).alias("rows"))
+    return grouped.select("g", "part", "rows").mapInArrow(_packed, "g string, part int, rows binary")
 
 
 def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -312,6 +316,7 @@ def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, perce
     rows = materialize(rows.withColumn("bytes", F.octet_length("text")), "near-open")
     tiles_for = lambda x: F.greatest(F.ceil(F.sum(x) / TILE), F.ceil(F.sum(x * F.col("bytes")) / TILE_BYTES)).cast("int")
     counts = rows.groupBy("g").agg(tiles_for(F.col("outside").cast("int")).alias("nx"), tiles_for(F.lit(1)).alias("ny")).filter("nx > 0")
+    counts = materialize(counts, "near-counts")
     dealt = rows.join(counts, "g")
     x = _tiles(dealt.filter("outside"), "nx").withColumnsRenamed({"part": "px", "rows": "rows_x"})
     y = _tiles(dealt, "ny").withColumnsRenamed({"part": "py", "rows": "rows_y"})
@@ -370,7 +375,7 @@ def across(rest: DataFrame, reps: DataFrame, documents: DataFrame, k: int, perce
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
     found = materialize(met.select("rows_x", "rows_y").mapInArrow(run, "a long, b long"), "near-across")
-    discard(nodes, texts, rows)
+    discard(nodes, texts, rows, counts)
     return found
 
 
